@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import byte_bpe, exact_dedup, language_id, packing, simhash, suffix_dedup, topk
+from docframe.llm import byte_bpe, exact_dedup, html_extract, language_id, packing, simhash, suffix_dedup, token_rollup, topk, toxicity
 
 VOCABULARY, WORD_TOKENIZER = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_bytes(table(spark, sf_dir, "documents")).drop("spans")
 
@@ -39,6 +43,13 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = language_id.held_out(F.col("doc_id"), 5, 0)
+    crf = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~out))
+    return toxicity.tag(docs, crf).select("doc_id", out.alias("held_out"), "score", "predicted")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep="greatest")
     return out.withColumn("text_sha256", F.lower(F.hex("digest"))).drop("digest")
@@ -63,6 +74,18 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after one batch for each tokenizer version, and the first sent again."""
+    docs = table(spark, sf_dir, "documents")
+    rollup = token_rollup.TokenRollup(spark)
+    words = token_rollup.changes(None, token_rollup.counted(docs, "words", token_rollup.word_count))
+    pieces = token_rollup.bpe_counted(docs, VOCABULARY, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+    for batch, deltas in (("words", words), ("pieces", token_rollup.changes(None, pieces)), ("words", words)):
+        rollup.apply(batch, deltas)
+    rollup.compact()
+    return rollup.totals()
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = language_id.held_out(F.col("doc_id"), 4, 2)
@@ -71,12 +94,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_exact_top_k": op3_exact_top_k,
+    "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash": op6_simhash,
     "op7_packing": op7_packing,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_token_rollup": op9_token_rollup,
     "op10_language_id": op10_language_id,
 }
 ORACLE_SQL = {"op3_exact_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL}
