@@ -7,10 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import attach, byte_at, cut, new_path, pick
-
-#: Bits of a bitmap made by bitmap_construct_agg.
-BITMAP_BITS = 32768
+from docframe.llm.shared import attach, cut, key_bitmaps, new_path, perhaps_in, pick
 
 
 def sha256(text: Column) -> Column:
@@ -49,20 +46,9 @@ class DigestIndex:
         self.runs = []
         return self.generation
 
-    def probe_filter(self, bits_a_key: int = 16, most_bits: int = 26) -> tuple[DataFrame, int]:
-        """Bitmaps (bucket, bitmap) over the digests with n > 1, and log2 of all bits: at most 2**most_bits / 8 bytes."""
-        repeated = self.generation.where("n > 1")
-        bits = min(most_bits, max(15, (max(1, repeated.count()) * bits_a_key - 1).bit_length()))
-        at = repeated.select(position(F.col("digest"), bits).alias("at"))
-        return cut(at.groupBy(bucket_of("at").alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap")), "filter"), bits
-
-
-def position(digest: Column, bits: int) -> Column:
-    return F.xxhash64(digest).bitwiseAND(F.lit((1 << bits) - 1))
-
-
-def bucket_of(at: str) -> Column:
-    return F.shiftright(F.col(at), 15)
+    def probe_filter(self) -> tuple[DataFrame, int]:
+        """Bitmaps over the digests that the index holds more than once."""
+        return key_bitmaps(self.generation.where("n > 1"), "digest")
 
 
 def exact_dedup(
@@ -90,9 +76,7 @@ def exact_dedup(
     index.compact()
     held = index.generation.select("digest", F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
     total = run.count()
-    bitmaps, bits = index.probe_filter()
-    probed = rows.withColumn("at", position(F.col("digest"), bits)).withColumn("bucket", bucket_of("at"))
-    hits = probed.join(F.broadcast(bitmaps), "bucket").where(byte_at(F.col("bitmap"), F.col("at").bitwiseAND(F.lit(BITMAP_BITS - 1)))).select("id", "digest", "text")
+    hits = perhaps_in(rows, "digest", index.probe_filter())
     best = (F.max if keep == "greatest" else F.min)("id")
     classes = hits.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
     clashing = cut(classes.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n")).where("texts > 1").select("digest", "n"), "clashing")

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bits of a bitmap made by bitmap_construct_agg.
+BITMAP_BITS = 32768
 #: A key with more than 1/HOT_SLOTS of all rows is looked up by broadcast; fewer than HOT_SLOTS such keys can exist.
 HOT_SLOTS = 256
 
@@ -62,10 +64,21 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
     return near.unionByName(rest.join(right.where(~hot), key, how))
 
 
-def byte_at(bitmap: Column, bit: Column) -> Column:
-    """Whether a bit of a bitmap made by bitmap_construct_agg is set."""
-    byte = F.conv(F.hex(F.substring(bitmap, (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.call_function("bit_get", byte, (bit.bitwiseAND(F.lit(7))).cast("int")) == 1
+def key_bitmaps(keys: DataFrame, key: str, bits_a_key: int = 16, most_bits: int = 26) -> tuple[DataFrame, int]:
+    """Bitmaps (bucket, bitmap) over the hashes of a column, and log2 of all bits: at most 2**most_bits / 8 bytes."""
+    bits = min(most_bits, max(15, (max(1, keys.count()) * bits_a_key - 1).bit_length()))
+    at = keys.select(F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    return cut(at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap")), "bitmaps"), bits
+
+
+def perhaps_in(df: DataFrame, key: str, bitmaps: tuple[DataFrame, int]) -> DataFrame:
+    """The rows of df whose key may be one of those that the bitmaps were made of: all that are, and a few more. The bitmaps are broadcast."""
+    table, bits = bitmaps
+    at = df.withColumn("_at", F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))).withColumn("_bucket", F.shiftright("_at", 15))
+    met = at.join(F.broadcast(table.toDF("_bucket", "_bitmap")), "_bucket")
+    bit = F.col("_at").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return met.where(F.call_function("bit_get", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(df.columns)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

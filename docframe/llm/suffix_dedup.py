@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import cut, pick
+from docframe.llm.shared import attach, cut, key_bitmaps, perhaps_in, pick, remove
 
 #: Bytes of a string that counts, of an anchor's gram; grams in a window; places between cover samples.
 LENGTH, GRAM, PERIOD = 200, 64, 32
@@ -249,8 +249,10 @@ def split_buckets(contexts: DataFrame, kind: str) -> DataFrame:
 def repeated_spans(rows: DataFrame, kind: str, most: int = MOST) -> DataFrame:
     """(id, mark, start, stop): bytes that repeated windows cover, in spans that may overlap. rows: (id, mark, text)."""
     found = cut(anchors(rows, kind), "anchors")
-    twice = found.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1").select("gram")
-    shared = cut(found.join(twice, "gram", "left_semi"), "shared")
+    twice = cut(found.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1"), "twice")
+    likely = perhaps_in(found, "gram", key_bitmaps(twice, "gram"))
+    shared = cut(attach(likely, twice, "gram", "met", found.count()).drop("met"), "shared")
+    remove(found)
     classes = cut(shared.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "place")).alias("one")), "classes")
     whole = shared.join(classes.where("n > 1").select("gram", "context"), ["gram", "context"], "left_semi")
     first = F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))
@@ -277,10 +279,13 @@ def repeated_spans(rows: DataFrame, kind: str, most: int = MOST) -> DataFrame:
 
     contexts = held.mapInArrow(read, f"id {kind}, mark long, gram long, n long, contexts long, place long, bytes binary")
     if mixed.where(F.col("contexts") > most).isEmpty():
-        return whole.unionByName(sorted_buckets(contexts, kind))
+        spans = cut(whole.unionByName(sorted_buckets(contexts, kind)), "spans")
+        for used in (shared, classes):
+            remove(used)
+        return spans
     contexts = cut(contexts, "contexts")
     parts = sorted_buckets(contexts.where(F.col("contexts") <= most), kind), split_buckets(contexts.where(F.col("contexts") > most), kind)
-    return whole.unionByName(parts[0]).unionByName(parts[1])
+    return cut(whole.unionByName(parts[0]).unionByName(parts[1]), "spans")
 
 
 def same_row(a: str, b: str) -> Column:
@@ -315,7 +320,7 @@ def spans_by_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(id, mark, spans): for rows with repeated bytes."""
     rows = numbered(docs, id_col, text_col)
     kind = rows.schema["id"].dataType.simpleString()
-    spans = cut(repeated_spans(rows, kind, most), "spans")
+    spans = repeated_spans(rows, kind, most)
     return spans.groupBy("id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
 
 
