@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, language_id
+from docframe.llm import exact_dedup, language_id, packing, simhash, suffix_dedup
 from docframe.llm.shared import cut, pick
 
 #: SQL has no naive Bayes classifier, fingerprints, repeated byte strings or tokens; tests hold run() against brute force.
@@ -27,7 +28,28 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_copies(docs, keep="greatest")
 
 
-STAGES = [("language_id", language_stage), ("exact_dedup", exact_stage)]
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints, the one of smallest doc_id."""
+    return simhash.drop_near_copies(docs, width=3, distance=3)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the bytes of strings of 200 bytes that occur at another place too; n_chars is that of what is left."""
+    return suffix_dedup.drop_repeated_bytes(docs).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' tokens as pieces of sequences of at most 2048, ids included as `tokens`."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), length=2048, last=1, tokens=True)
+
+
+STAGES = [
+    ("language_id", language_stage),
+    ("exact_dedup", exact_stage),
+    ("simhash", near_stage),
+    ("suffix_dedup", repeats_stage),
+    ("packing", packing_stage),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
