@@ -43,10 +43,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 UNLIKELY = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner cookie cookies consent gdpr notice notices popup popover modal "
     "overlay newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations share sharing "
-    "social comment comments commentlist disqus respond replies reply reader footer masthead toolbar skip login search topbar header".split()
+    "social comment comments commentlist disqus respond replies reply footer masthead toolbar skip login search topbar header".split()
 )
 LIKELY = frozenset("article body content entry main page post story text blog".split())
 HOLDS_MAIN = frozenset({"article", "main"})
+#: Of these, words for what readers write: it may hold articles of its own.
+REPLIES = frozenset("comment comments commentlist disqus respond replies reply".split())
 
 
 class Node:
@@ -156,12 +158,13 @@ def prune(root: Node) -> list[Node]:
         node = todo.pop()
         nodes.append(node)
         todo += [x for x in reversed(node.items) if isinstance(x, Node)]
-    holds: set[int] = set()  # nodes with an article, main or h1 below
+    sure: set[int] = set()  # nodes with main or h1 below
+    holds: set[int] = set()  # and those with an article
     for node in nodes:
-        if node.tag in HOLDS_MAIN or node.tag == "h1":
-            up = node.parent
-            while up is not None and id(up) not in holds:
-                holds.add(id(up))
+        for kind, tags in ((sure, ("main", "h1")), (holds, ("main", "h1", "article"))):
+            up = node.parent if node.tag in tags else None
+            while up is not None and id(up) not in kind:
+                kind.add(id(up))
                 up = up.parent
     chars = {}
     for node in reversed(nodes):
@@ -182,8 +185,9 @@ def prune(root: Node) -> list[Node]:
             gone = gone or x.tag == "header" and not inside
             gone = gone or x.tag == "form" and (inside or id(x) not in holds and chars[id(x)] < total / 2)
             words = name_words(attrs) & UNLIKELY - ({"header"} if inside else frozenset())
-            gone = gone or bool(words) and x.tag not in ("html", "body", "main", "article") and id(x) not in holds
-            gone = gone or x.tag == "article" and inside and bool(words & {"comment", "comments", "reply", "replies", "related"})
+            likely = id(x) in sure or id(x) in holds and chars[id(x)] > total / 2 and not words & REPLIES
+            gone = gone or bool(words) and x.tag not in ("html", "body", "main", "article") and not likely
+            gone = gone or x.tag == "article" and bool(words & (REPLIES | {"related"}))
             if not gone:
                 items.append(x)
         node.items = items

@@ -154,7 +154,7 @@ def numbered(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     """Each text's tokens as numbers of distinct words, and the features of those words."""
     number: dict[str, int] = {}
     docs = [np.array([number.setdefault(w, len(number)) for w in TOKEN.findall(t.lower())], np.int64) for t in texts]
-    return docs, np.array([features_of(w) for w in number], np.int64).reshape(len(number), -1)
+    return docs, np.array([features_of(w) for w in number], np.int64).reshape(len(number), 5)
 
 
 def feature_weights(docs: list[np.ndarray], features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
