@@ -537,3 +537,71 @@ def formula_shift(spark, sf_dir):
 @query("SELECT doc_id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def doc_join_labels(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "source", "quality", "toxic")
+
+
+def round_trip(target: str):
+    """Pages to a format and back: whether both ways to Markdown agree, and where not, what differs first."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from docframe.operators.convert import convert_one
+
+        def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                same = []
+                for source in batch.column(1).to_pylist():
+                    data = (source or "").encode()
+                    direct, (packed, error) = convert_one("html", "markdown", data)[0], convert_one("html", target, data)
+                    same.append(error is None and convert_one(target, "markdown", packed)[0] == direct)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.bool_())], ["page_id", "same"])
+
+        return table(spark, sf_dir, "pages").select("page_id", "html").mapInArrow(both, "page_id long, same boolean")
+
+    return run
+
+
+for _target in ("docx", "rtf", "epub"):
+    QUERIES[f"{_target}_round_trip"] = round_trip(_target)
+    ORACLE_SQL[f"{_target}_round_trip"] = "SELECT page_id, true AS same FROM pages"
+
+
+@query(
+    """
+    WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders)
+    SELECT o_custkey AS doc_id, CAST(n // 3 AS INTEGER) AS row, CAST(n % 3 AS INTEGER) AS col, 'number' AS kind, CAST(o_orderkey AS VARCHAR) AS text, CAST(o_orderkey AS DOUBLE) AS number FROM n
+    """
+)
+def workbook_cells(spark, sf_dir):
+    """Each customer's orders written as a workbook, read again as typed cells."""
+    from docframe.operators.convert import convert_one
+    from docframe.sources import workbook
+
+    own = order_cells(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row", "ord", "text"))).alias("cells"))
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for cells in batch.column(1).to_pylist():
+                rows: dict[int, str] = {}
+                for c in cells:
+                    rows[c["row"]] = rows.get(c["row"], "") + f"<td>{c['text']}</td>"
+                out.append(convert_one("html", "xlsx", ("<table>" + "".join(f"<tr>{r}</tr>" for r in rows.values()) + "</table>").encode())[0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
+
+    books = own.mapInArrow(write, "doc_id long, content binary")
+    cells = workbook.cells(workbook.raw_cells(books, "doc_id", "content"))
+    return cells.select("doc_id", "row", "col", "value.kind", "text", F.col("value.f").alias("number"))
+
+
+@query()
+def document_markdown(spark, sf_dir):
+    """Documents' texts read as Markdown: the kinds of their blocks."""
+    from docframe.operators.boxes import blocks_of
+    from docframe.sources.html import Element, parse
+    from docframe.sources.text import markdown_to_html
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [",".join(b.kind for b in blocks_of(parse(markdown_to_html(t or "")).find("body") or Element("body"))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["doc_id", "kinds"])
+
+    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, kinds string")
