@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from docframe.functions.formats import FORMATS
+from docframe.operators import page_blocks
 from docframe.operators.boxes import Block
-from docframe.sinks import csv, html, markdown, workbook
+from docframe.sinks import csv, html, markdown, pdf, workbook
 from docframe.sources import office, text
 
 #: Formats whose content has a block structure that this engine reads and writes.
-READ = ("html", "markdown", "text", "csv", "tsv", "xlsx", "rtf", "docx", "pptx", "epub")
-WRITE = ("html", "markdown", "text", "csv", "tsv", "xlsx", "rtf", "docx", "pptx", "epub")
+READ = ("html", "markdown", "text", "csv", "tsv", "xlsx", "rtf", "docx", "pptx", "epub", "pdf")
+WRITE = READ
 
 
 def can_convert(source: str | None, target: str | None) -> str:
@@ -35,7 +36,7 @@ def to_html(source: str, data: bytes) -> str:
         return text.separated_to_html(data, "," if source == "csv" else "\t")
     if source == "xlsx":
         return workbook_to_html(data)
-    return {"rtf": office.rtf_to_html, "docx": office.docx_to_html, "pptx": office.pptx_to_html, "epub": office.epub_to_html}[source](data)
+    return {"rtf": office.rtf_to_html, "docx": office.docx_to_html, "pptx": office.pptx_to_html, "epub": office.epub_to_html, "pdf": page_blocks.pdf_to_html}[source](data)
 
 
 def workbook_to_html(data: bytes) -> str:
@@ -85,7 +86,7 @@ def from_blocks(target: str, blocks: list[Block]) -> bytes:
     return {
         "html": lambda: html.page(blocks, html.first_title(blocks, None)).encode(), "markdown": lambda: markdown.write(blocks).encode(), "text": lambda: markdown.write(blocks, True).encode(),
         "csv": lambda: csv.write(blocks, ",").encode(), "tsv": lambda: csv.write(blocks, "\t").encode(), "xlsx": lambda: workbook.write(blocks), "rtf": lambda: html.rtf(blocks).encode(),
-        "docx": lambda: html.docx(blocks), "pptx": lambda: html.pptx(blocks), "epub": lambda: html.epub(blocks),
+        "docx": lambda: html.docx(blocks), "pptx": lambda: html.pptx(blocks), "epub": lambda: html.epub(blocks), "pdf": lambda: pdf.write(blocks),
     }[target]()
 
 

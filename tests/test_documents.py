@@ -8,7 +8,7 @@ from docframe.operators.convert import READ, WRITE, convert, convert_one
 from docframe.sinks.csv import to_csv
 from docframe.sinks.markdown import to_markdown
 from docframe.sinks.workbook import clean_number, sheet_names
-from docframe.sources import html, workbook
+from docframe.sources import html, pdf, workbook
 from docframe.sources.text import separated
 
 MARKDOWN = [
@@ -54,6 +54,25 @@ def test_round_trip(target):
     assert (data if target == "markdown" else convert_one(target, "markdown", data)[0]) == direct
 
 
+def test_pdf(spark):
+    """Through a page description: headings, a wrapped paragraph, lists and a ruled table come back."""
+    page = "<h1>Title here</h1><p>a <b>bold</b> word " + "and more words " * 20 + "é.</p><h2>Sub head</h2><ul><li>one</li><li>two</li></ul><table><tr><th>A</th><th>B</th></tr><tr><td>1</td><td>x y</td></tr><tr><td>2</td><td>007</td></tr></table><ol><li>x y</li><li>y z</li></ol><p>(end)</p>"
+    data = convert_one("html", "pdf", page.encode())[0]
+    assert convert_one("pdf", "markdown", data)[0] == convert_one("html", "markdown", page.encode())[0]
+    docs = spark.createDataFrame([(1, data), (2, b"%PDF-1.4 broken"), (3, b"no")], "doc_id long, content binary")
+    assert pdf.pages(docs, "doc_id", "content").where("error is null").collect()[0][1:4] == (0, 612.0, 792.0)
+    words = glyphs.words(glyphs.glyph_lines(pdf.glyphs(docs, "doc_id", "content").where("error is null").drop("error")))
+    assert words.where("text = 'Title' and bold").count() == 1
+    assert pdf.rules(docs, "doc_id", "content").where("error is null").count() > 6
+    assert pdf.glyphs(docs, "doc_id", "content").where("doc_id = 3 and error is not null").count() == 1
+
+
+def test_pdf_filters():
+    assert pdf.run_lengths(b"\x02abc\xfex\x80") == b"abcxxx"
+    assert pdf.lzw(bytes([0x80, 0x0B, 0x60, 0x50, 0x22, 0x0C, 0x0C, 0x85, 0x01])) == bytes([45, 45, 45, 45, 45, 65, 45, 45, 45, 66])
+    assert [v for v, _ in pdf.objects(b"<< /A [1 2.5 (x\\)\\101) <4142>] /B 3 0 R >>")] == [{"A": [1, 2.5, b"x)A", b"AB"], "B": pdf.Ref((3, 0))}]
+
+
 def test_matrix():
     made = {"html": PAGE.encode()} | {t: convert_one("html", t, PAGE.encode())[0] for t in WRITE if t != "html"}
     for a in READ:
