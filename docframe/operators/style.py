@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docframe.functions.css import expand
+
 # Origins, properties that children inherit, the weight that inline important declarations get
 ORIGINS = {"ua": 0, "hint": 1, "author": 2}
 INHERITED = ("color", "font-family", "font-size", "font-style", "font-weight", "line-height", "list-style-type", "text-align", "text-decoration", "text-indent", "text-transform", "visibility", "white-space", "direction", "letter-spacing", "word-spacing", "quotes")
@@ -169,7 +171,7 @@ def declarations(text: str) -> list[tuple[str, str, bool]]:
         name, colon, value = d.partition(":")
         if colon and name.strip() and value.strip():
             plain = re.sub(r"(?i)\s*!\s*important\s*$", "", value.strip())
-            out.append((name.strip().lower(), plain, plain != value.strip()))
+            out += [(k, v, plain != value.strip()) for k, v in expand(name.strip().lower(), plain)]
     return out
 
 

@@ -1,9 +1,11 @@
 """Readers, writers and operators on small documents."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docframe.operators import glyphs, grid, numbering, pivot, rules, style
+from docframe.functions import css
+from docframe.operators import crop, glyphs, grid, numbering, pivot, rules, style
 from docframe.operators.convert import READ, WRITE, convert, convert_one
 from docframe.sinks.csv import to_csv
 from docframe.sinks.markdown import to_markdown
@@ -99,9 +101,9 @@ def test_style(spark):
     docs = spark.createDataFrame([(1, "<div class='c d'><p id=x>1</p><p style='color: red'>2</p><p>3</p></div><p>4</p>")], "doc_id long, html string")
     nodes = html.nodes(docs, "doc_id", "html").cache()
     ps = nodes.where("tag = 'p'").orderBy("pre").select("node_id").collect()
-    sheets = [("ua", "p { color: black; display: block }"), ("author", ".c p { color: blue } div p:nth-child(3) { color: green } #x { color: navy } p { margin: 0 !important } p:not(.a) { color: pink } @media print { p { color: gray } }")]
+    sheets = [("ua", "p { color: black; display: block; margin: 1px 2px }"), ("author", ".c p { color: blue } div p:nth-child(3) { color: green } #x { color: navy } p { margin: 0 !important } p:not(.a) { color: pink } @media print { p { color: gray } }")]
     won = {(r.node_id, r.prop): r.value for r in style.apply_sheets(spark, nodes, sheets).collect()}
-    assert [won[p.node_id, "color"] for p in ps] == ["navy", "red", "green", "black"] and won[ps[0].node_id, "margin"] == "0"
+    assert [won[p.node_id, "color"] for p in ps] == ["navy", "red", "green", "black"] and won[ps[0].node_id, "margin-left"] == "0"
     assert style.nth("2n+1") == (2, 1) and style.nth("odd") == (2, 1) and style.nth("-n+3") == (-1, 3) and style.nth("x") is None
     assert [s.specificity for s in style.parse_selectors("#a .b c, *")] == [(1, 1, 1), (0, 0, 0)]
 
@@ -159,3 +161,26 @@ def test_pivot_and_rules(spark):
         pivot.pivot_wide(df, ["nope"], "c", ["x"], [("sum", "v")])
     pages = spark.createDataFrame([("1-3,5", 4), ("all", 3), ("2,2,9", 3)], "s string, n int").select(rules.page_numbers(F.col("s"), F.col("n")).alias("p")).collect()
     assert [r.p for r in pages] == [[1, 2, 3], [1, 2, 3], [2]]
+
+
+def test_css():
+    assert css.length("1in") == (72, "px") and css.length("2em") == (2, "em") and css.length("3") is None and css.length("0") == (0, "px")
+    assert [css.colour(c) for c in ("#abc", "Red", "rgb(255, 0, 16)", "rgb(100%,0%,0%)", "nope")] == ["aabbcc", "ff0000", "ff0010", "ff0000", None]
+    assert css.expand("margin", "1px 2px 3px") == [("margin-top", "1px"), ("margin-right", "2px"), ("margin-bottom", "3px"), ("margin-left", "2px")]
+    assert dict(css.expand("border-top", "2px solid red")) == {"border-top-width": "2px", "border-top-style": "solid", "border-top-color": "red"}
+    assert css.expand("flex", "2 1 10px") == [("flex-grow", "2"), ("flex-shrink", "1"), ("flex-basis", "10px")]
+    assert dict(css.expand("font", "italic bold 12px/1.5 A, b"))["line-height"] == "1.5"
+    assert css.hints("td", {"align": "right", "bgcolor": "#fff", "width": "50%"}) == [("background-color", "#ffffff"), ("text-align", "right"), ("width", "50%")]
+
+
+def test_crop(spark):
+    df = spark.createDataFrame([(400, 300, 1, 1, "center"), (400, 300, 2, 1, "south"), (3, 1000, 16, 9, "east")], "w int, h int, a int, b int, g string")
+    got = df.select(crop.anchor(F.col("w"), F.col("h"), crop.fit_window(F.col("w"), F.col("h"), F.col("a"), F.col("b")), F.col("g")).alias("r")).collect()
+    assert [tuple(r.r) for r in got] == [(50, 0, 350, 300), (0, 100, 400, 300), (0, 499, 3, 500)]
+    image = np.zeros((64, 64, 3), np.uint8)
+    assert crop.best_window(image, (16, 16)) == (24, 24, 40, 40)
+    image[40:60:2, 44:60:2] = (255, 0, 0)
+    x0, y0, x1, y1 = crop.best_window(image, (16, 16), {"center": 0.0})
+    assert x0 >= 40 and y0 >= 36 and (x1 - x0, y1 - y0) == (16, 16)
+    flat = crop.saliency(image, {"edge": 0.0, "saturation": 0.0, "skin": 0.0})
+    assert flat.argmax() // 64 in (31, 32)
