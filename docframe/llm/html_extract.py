@@ -18,9 +18,11 @@ from docframe.llm.shared import pick
 
 #: Elements whose content is raw text and never shown.
 RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp|noscript|template|svg|math|object"
+#: Inside of a tag: quotes count after an equals sign only, and must end.
+INSIDE = r"(?>[^<>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*"
 TOKENS = re.compile(
-    rf"(?is)<!--.*?(?:--!?>|\Z)|<({RAW})\b(?>[^>\"']+|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\b[^>]*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|([^<]+|<)"
+    rf"(?is)<!--.*?(?:--!?>|\Z)|<({RAW})\b{INSIDE}>.*?(?:</\1\b[^>]*>|\Z)"
+    rf"|<(/?)([a-z][^\s/><]*)({INSIDE})>|<[!?/][^>]*>?|([^<]+|<)"
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -45,6 +47,8 @@ UNLIKELY = frozenset(
     "overlay newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations share sharing "
     "social comment comments commentlist disqus respond replies reply footer masthead toolbar skip login search topbar header".split()
 )
+#: Elements nested deeper hold nothing; what follows them stands beside them.
+DEPTH = 512
 LIKELY = frozenset("article body content entry main page post story text blog".split())
 HOLDS_MAIN = frozenset({"article", "main"})
 #: Of these, words for what readers write: it may hold articles of its own.
@@ -134,7 +138,8 @@ def parse(source: str) -> Node:
             order += 1
             node = Node(tag, m[4], stack[-1], order)
             stack[-1].items.append(node)
-            stack.append(node)
+            if len(stack) < DEPTH:
+                stack.append(node)
         elif tag == "br":
             parts.append("\n")
         elif tag == "a":
