@@ -23,10 +23,15 @@ TABLE_PARTS = {
     "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
     "caption": ({"caption"}, {"table"}), "option": ({"option"}, {"select"}), "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
 }
-TOKEN = re.compile(r"(?s)<!--(.*?)(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>?|([^<]+|<)")
+# inside of a tag, quotes count after an equals sign only, and must end
+TOKEN = re.compile(r"(?s)<!--(.*?)(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/><]*)((?>[^<>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*)>|<[!?/][^>]*>?|([^<]+|<)")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
+#: Elements nested deeper hold nothing; what follows them stands beside them.
+DEPTH = 200
+
+
 class Element:
     __slots__ = ("tag", "attrs", "children", "parent")
 
@@ -75,7 +80,7 @@ class Builder:
     def open(self, tag: str, attrs: dict[str, str], push: bool = True) -> Element:
         node = Element(tag, attrs, self.stack[-1])
         self.put(node)
-        if push:
+        if push and len(self.stack) < DEPTH:
             self.stack.append(node)
         return node
 
@@ -122,6 +127,10 @@ class Builder:
                 self.active = [f for f in self.active if f.tag != "a"]
                 self.close({"a"})
             self.reopen()
+            last = max((i for i, f in enumerate(self.active) if f.tag == "#marker"), default=-1)
+            same = [i for i in range(last + 1, len(self.active)) if self.active[i].tag == tag and self.active[i].attrs == attrs]
+            if len(same) >= 3:  # three of a kind go on at most
+                del self.active[same[0]]
             self.active.append(self.open(tag, attrs))
             return
         if tag not in CLOSES_P and tag not in TABLE_PARTS:
