@@ -10,50 +10,70 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.byte_bpe import CACHE
+from docframe.llm.byte_bpe import to_letters
 from docframe.llm.shared import cut, pick
 
 #: Slots of a hashed document vector, dimensions it is projected to, bits of a coordinate, tokens of a sequence.
 SLOTS, DIMENSIONS, BITS, LENGTH = 1024, 4, 10, 2048
 SEED = 20240
+#: Words that a worker remembers before it starts afresh.
+WORDS = 400_000
 
 
-class WordTokens:
-    """Token ids of a text by a tokenizers file whose pre-tokens never hold white space.
+class WordTokens(dict):
+    """Token ids (two bytes each) of the words of a tokenizers file whose pre-tokens never hold white space, as far as they are remembered.
 
-    Words between white space are encoded alone and remembered. Texts that hold one of the four
-    separators which only some libraries call white space are encoded whole.
+    A word of Latin letters is looked up in lower case, and without a dot or comma at its end, which
+    is a pre-token of its own. Texts that hold one of the four separators which only some libraries
+    call white space are encoded whole.
     """
 
     ODD = frozenset("\x1c\x1d\x1e\x1f")
+    END = frozenset(".,")
 
     def __init__(self, path: str, last: int):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.last = last
-        self.known: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        coded = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(c.ids, np.uint32).tobytes() for c in coded]
+        if self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("ids are kept in two bytes")
+        self.model = self.tokenizer.model
+        self.last = np.uint16(last)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if word.isascii() or (max(word) < "\u0250" and "\u0130" not in word):
+            low = word.lower()
+            if low != word:
+                return self.keep(word, self[low])
+            if len(word) > 1 and word[-1] in self.END and word[-2].isalpha():
+                return self.keep(word, self[word[:-1]] + self[word[-1]])
+            ids = self.letters(word) if word.isalpha() else self.whole(word)
+        else:
+            ids = self.whole(word)
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = ids
+        return ids
+
+    def keep(self, word: str, ids: bytes) -> bytes:
+        """Short words come again; longer ones with capitals or ends are put together anew."""
+        if len(word) <= 9:
+            self[word] = ids
+        return ids
+
+    def letters(self, word: str) -> bytes:
+        """Of a lower-case word of letters, which is one pre-token."""
+        return np.array([t.id for t in self.model.tokenize(to_letters(word.encode()))], np.uint16).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        """uint32 ids, then the last id."""
-        if not self.ODD.isdisjoint(text):
-            ids = self.whole([text])[0]
-        else:
-            words, known = text.split(), self.known
-            try:
-                ids = b"".join([known[w] for w in words])
-            except KeyError:
-                if len(known) > CACHE:
-                    known.clear()
-                fresh = [w for w in dict.fromkeys(words) if w not in known]
-                known.update(zip(fresh, self.whole(fresh)))
-                ids = b"".join([known[w] for w in words])
-        return np.append(np.frombuffer(ids, np.uint32), np.uint32(self.last))
+        """uint16 ids, then the last id."""
+        ids = b"".join([self[w] for w in text.split()]) if self.ODD.isdisjoint(text) else self.whole(text)
+        return np.append(np.frombuffer(ids, np.uint16), self.last)
 
 
 def projection() -> np.ndarray:
@@ -63,7 +83,7 @@ def projection() -> np.ndarray:
 
 def coordinates(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """The document's hashed, normed vector, projected, each dimension spread over 0 .. 2**BITS - 1 by the logistic curve."""
-    slots = (ids * np.uint32(2654435761)) >> np.uint32(22)
+    slots = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
     vector = np.sqrt(np.bincount(slots, minlength=SLOTS))
     point = vector @ matrix / max(1e-9, float(np.sqrt(vector @ vector)))
     return np.minimum((1 / (1 + np.exp(-1.7 * point)) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
@@ -95,30 +115,21 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
 
 
 def tokenised(docs: DataFrame, tokenizer: str, last: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, ids): ids as four bytes each."""
+    """(id, key, ids): ids as two bytes each."""
     matrix = projection()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens(tokenizer, last)
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
             ids = [words.encode(t.as_py() or "") for t in batch.column(1)]
             if ids:
                 keys = hilbert_keys(np.array([coordinates(i, matrix) for i in ids]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([narrow(i) for i in ids], pa.binary())], ["id", "key", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([i.tobytes() for i in ids], pa.binary())], ["id", "key", "ids"])
 
     own = pick(docs, id_col, text_col)
     return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, key long, ids binary")
 
 
-def narrow(ids: np.ndarray) -> bytes:
-    """Two bytes an id where all fit, else four; the first byte tells which."""
-    return b"\2" + ids.astype(np.uint16).tobytes() if len(ids) == 0 or int(ids.max()) < 1 << 16 else b"\4" + ids.astype(np.uint32).tobytes()
-
-
-def widened(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint16 if data[:1] == b"\2" else np.uint32, offset=1).astype(np.uint32)
-
-
 def cut_sizes(n: int, length: int) -> list[int]:
     """The last n tokens of a run, fewer than length, as sequences of powers of two, the largest first: none needs padding."""
     return [1 << b for b in range(length.bit_length() - 1, -1, -1) if n >> b & 1]
@@ -153,7 +164,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, last: int = 1, i
             batch_type = batch.column(0).type
             for doc, data, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
                 part = number
-                ids = widened(data.as_py())
+                ids = np.frombuffer(data.as_py(), np.uint16)
                 at = 0
                 while at < len(ids):
                     take = min(length - filled, len(ids) - at)
