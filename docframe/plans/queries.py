@@ -188,12 +188,12 @@ A1_SQL = "CASE WHEN n > 702 THEN chr(CAST(65 + ((n - 703) // 676) % 26 AS INTEGE
 @query(
     f"""
     WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey % 18000 + 1 AS n FROM lineitem)
-    SELECT l_orderkey, l_linenumber, {A1_SQL} || CAST(l_orderkey AS VARCHAR) AS ref, l_orderkey AS row, n AS col FROM c WHERE l_orderkey >= 1
+    SELECT l_orderkey, l_linenumber, {A1_SQL} || CAST(l_orderkey + 1 AS VARCHAR) AS ref, l_orderkey + 1 AS row, n AS col FROM c
     """
 )
 def a1_refs(spark, sf_dir):
-    own = table(spark, sf_dir, "lineitem").where("l_orderkey >= 1")
-    ref = S.cell_ref(F.col("l_orderkey"), F.col("l_partkey") % 18000 + 1)
+    own = table(spark, sf_dir, "lineitem")
+    ref = S.cell_ref(F.col("l_orderkey") + 1, F.col("l_partkey") % 18000 + 1)
     return own.select("l_orderkey", "l_linenumber", ref.alias("ref")).withColumn("p", S.parse_ref(F.col("ref"))).select("l_orderkey", "l_linenumber", "ref", "p.row", "p.col")
 
 
@@ -409,15 +409,15 @@ def merge_coverage(spark, sf_dir):
 
 @query(
     """
-    WITH RECURSIVE v AS (SELECT DISTINCT l_returnflag AS g, l_extendedprice AS x FROM lineitem WHERE l_orderkey <= 400), s AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS k FROM v),
+    WITH RECURSIVE v AS (SELECT DISTINCT l_orderkey AS g, l_quantity AS x FROM lineitem), s AS (SELECT g, x, row_number() OVER (PARTITION BY g ORDER BY x) AS k FROM v),
     f(g, k, total, n, cluster) AS (SELECT g, k, x, CAST(1 AS BIGINT), CAST(0 AS BIGINT) FROM s WHERE k = 1
       UNION ALL SELECT s.g, s.k, CASE WHEN x - total / n <= 3 THEN total + x ELSE x END, CASE WHEN x - total / n <= 3 THEN n + 1 ELSE 1 END, CASE WHEN x - total / n <= 3 THEN cluster ELSE cluster + 1 END FROM f JOIN s ON s.g = f.g AND s.k = f.k + 1)
     SELECT g, cluster, round(max_by(total / n, k), 6) AS mean FROM f GROUP BY g, cluster
     """
 )
 def snap_lines(spark, sf_dir):
-    """Price values of each return flag snapped to clusters; the tables' first 400 order numbers, as one page has few rule lines."""
-    own = table(spark, sf_dir, "lineitem").where("l_orderkey <= 400").select(F.col("l_returnflag").alias("g"), F.col("l_extendedprice").alias("x")).distinct()
+    """Quantities of each order snapped to clusters, as rule lines of a page are."""
+    own = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), F.col("l_quantity").alias("x")).distinct()
     out = own.groupBy("g").agg(G.snap(F.collect_list("x")).alias("means"))
     return out.select("g", F.posexplode("means").alias("cluster", "mean")).select("g", F.col("cluster").cast("long").alias("cluster"), F.round("mean", 6).alias("mean"))
 
