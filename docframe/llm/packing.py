@@ -17,7 +17,7 @@ from docframe.llm.shared import cut, pick
 SLOTS, DIMENSIONS, BITS, LENGTH = 1024, 4, 10, 2048
 SEED = 20240
 #: Words that a worker remembers before it starts afresh.
-WORDS = 400_000
+WORDS = 1_000_000
 
 
 class WordTokens(dict):
