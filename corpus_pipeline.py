@@ -29,8 +29,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints, the one of smallest doc_id."""
-    return simhash.drop_near_copies(docs, width=3, distance=3)
+    """One document of each group linked by five-word similarities of 0.8 or more, the one of smallest doc_id."""
+    return simhash.drop_similar(docs, width=5, similarity=(4, 5))
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,42 +6,60 @@ up its segment's Hamming ball of radius one. A ball is halved: of two segments o
 the one whose bit is 0 looks up the other. Whole distances are verified within a bucket, which gives
 back a spanning forest of its links, never all pairs; buckets of very many fingerprints go another,
 linear way. Links become components by a distributed algorithm.
+
+Texts whose word shingles are alike may differ in more bits than any table of 64 bits can look up.
+similar_components() links all pairs of a Jaccard similarity: links of fingerprints are only a start,
+verified like all others, and pairs that it leaves apart are found by their prefixes. Of two sets in
+one order, with a overlap at least, the first n - a + 1 elements share one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import attach, connected_components, cut, pick
+from docframe.llm.shared import BITMAP_BITS, attach, connected_components, cut, key_bitmaps, perhaps_in, pick
 
 #: Bits that linked fingerprints differ in at most, and the rows of a bucket that are compared in one task.
 DISTANCE, BUCKET = 3, 50_000
 #: Hashes whose bits are counted at once.
 HASHES = 1 << 15
 SEGMENTS = ((0, 32), (32, 32))
+#: One text in SAMPLE is counted to tell common shingles, those in COMMON of these texts at least, and log2 of the bits that keep them.
+SAMPLE, COMMON, COMMON_BITS = 16, 3, 26
 
 
-def fingerprint(text: str, width: int, seed: int = 42) -> int:
-    """The SimHash of a text's word shingles; 0 if it has no word. Letters A to Z are lower-cased, words end at ASCII white space."""
+def shingle_hashes(text: str, width: int, seed: int = 42) -> Iterator[np.ndarray]:
+    """The bytes of 64-bit hashes of a text's word shingles, HASHES rows at once. Letters A to Z are lower-cased, words end at ASCII white space."""
     words = text.encode("utf-8", "replace").lower().split()
     if not words:
-        return 0
+        return
     hash_of, n = xxhash.xxh64_digest, max(1, len(words) - width + 1)
-    ones = np.zeros(64, np.int64)
     for a in range(0, n, HASHES):
         own = words[a : a + HASHES + width - 1]
         shingles = zip(*[own[k:] for k in range(width)]) if n > 1 or len(own) >= width else [own]
-        hashes = b"".join([hash_of(b" ".join(s), seed) for s in shingles])
-        ones += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 64 // 8), axis=1).sum(axis=0, dtype=np.int64)
+        yield np.frombuffer(b"".join([hash_of(b" ".join(s), seed) for s in shingles]), np.uint8).reshape(-1, 64 // 8)
+
+
+def majority(hashes: Iterable[np.ndarray]) -> int:
+    """The SimHash of hashes; 0 if there is none."""
+    ones, n = np.zeros(64, np.int64), 0
+    for own in hashes:
+        ones += np.unpackbits(own, axis=1).sum(axis=0, dtype=np.int64)
+        n += len(own)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def fingerprint(text: str, width: int, seed: int = 42) -> int:
+    """The SimHash of a text's word shingles; 0 if it has no word."""
+    return majority(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): fp a signed long; null texts count as empty."""
 
@@ -191,10 +209,133 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = DISTANCE
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, width: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of least id; all columns kept. Rows with a null id go only where their component has another."""
-    parts = simhash_components(docs, width, distance, id_col, text_col)
+def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:
+    """The different hashes, ascending."""
+    return np.unique(np.concatenate([x.view(np.int64).ravel() for x in hashes])) if hashes else np.zeros(0, np.int64)
+
+
+def common_shingles(own: DataFrame, width: int, bits: int = COMMON_BITS) -> np.ndarray:
+    """Bits, by the low bits of a hash, set for the shingles that are common in a sample; they only order shingles, so more or fewer change no result."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(list(shingle_hashes(t.as_py(), width))))], ["key"])
+
+    some = own.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)).select("text")
+    often = some.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON)
+    at = F.col("key").bitwiseAND(F.lit((1 << bits) - 1))
+    maps = often.groupBy(F.shiftright(at, 15).alias("bucket")).agg(F.bitmap_construct_agg(at.bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap"))
+    out = np.zeros((1 << bits - 15, BITMAP_BITS // 8), np.uint8)
+    for r in maps.collect():
+        out[r.bucket] = np.frombuffer(r.bitmap, np.uint8)
+    return out.ravel()
+
+
+def prefixes(own: DataFrame, width: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
+    """(id, fp, node, n, keys): node stands for a text's set of n shingles, keys are the first of them, those not common before the others."""
+    top, bottom = similarity
+    shared = own.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = shared.value
+        for batch in batches:
+            fps, nodes, sizes, keys = [], [], [], []
+            for t in batch.column(1):
+                hashes = list(shingle_hashes(t.as_py() or "", width))
+                found = shingle_set(hashes)
+                n = len(found)
+                at = found & 8 * len(marks) - 1
+                last = (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+                fps.append(majority(hashes))
+                nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
+                sizes.append(n)
+                keys.append(np.concatenate([found[~last], found[last]])[: n - -(-top * n // bottom) + 1])
+            lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)], pa.array(sizes, pa.int32()), lists], ["id", "fp", "node", "n", "keys"])
+
+    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, fp long, node long, n int, keys array<long>")
+
+
+def alike(pairs: DataFrame, own: DataFrame, ids: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets of shingles are similar."""
+    top, bottom = similarity
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(1):
+                found = shingle_set(list(shingle_hashes(t.as_py() or "", width)))
+                node = np.array([xxhash.xxh3_64_intdigest(found.tobytes())], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(np.array([0, len(found)], np.int32), found)], ["node", "shingles"])
+
+    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
+    least = cut(ids.join(met, "node").groupBy("node").agg(F.min("id").alias("id")), "least")
+    texts = perhaps_in(own, "id", key_bitmaps(least, "id")).mapInArrow(run, "node long, shingles array<long>")
+    sets = cut(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}"))
+    both = F.size(F.array_intersect("_a", "_b")).cast("long")
+    return cut(pairs.join(of("a"), "a").join(of("b"), "b").where((top + bottom) * both >= top * (F.size("_a") + F.size("_b")).cast("long")).select("a", "b"), "alike")
+
+
+def similar_components(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
+    """One row per row of docs: id_col, component_id (least id reachable over pairs of texts whose shingles have the Jaccard similarity top / bottom or more).
+
+    Texts of fewer words than width are one shingle, texts without a word alike. Null ids never are
+    a component's id unless all its ids are null. Repeated rows count each; an empty table gives none.
+    """
+    top, bottom = similarity
+    if not 0 < top <= bottom:
+        raise ValueError("similarity is a fraction (top, bottom) over 0, 1 at most")
+    own = pick(docs, id_col, text_col).toDF("id", "text")
+    rows = cut(prefixes(own, width, similarity, common_shingles(own, width)), "prefixes")
+    ids = rows.select("id", "node")
+    unique = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), "unique")
+    table = rows.select("node", F.col("n").alias("size"), F.posexplode("keys").alias("at", "key"))
+    met = cut(table.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "met")
+    table = cut(perhaps_in(table, "key", key_bitmaps(met, "key")).join(met, "key").distinct(), "shared")
+
+    def enough(x: str, y: str) -> Column:
+        """Both have, from the key on, as many shingles as they must share."""
+        return ((top + bottom) * F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")).cast("long")) >= top * (F.col(f"{x}.size") + F.col(f"{y}.size")).cast("long")
+
+    def sorted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+    named = links(unique.select("fp").distinct(), DISTANCE, bucket)
+    first = unique.groupBy("fp").agg(F.min("node").alias("node"))
+    near = named.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+    same = unique.join(first.toDF("fp", "x"), "fp").select("x", F.col("node").alias("y"))
+    # every node to one of its key's, then every pair that is still apart
+    stars = table.groupBy("key").agg(F.min(F.struct("node", "size", "at")).alias("s")).select("key", "s.*")
+    stars = table.alias("p").join(stars.alias("q"), "key").where(enough("p", "q"))
+    pairs = sorted_pairs(near, "x", "y").unionByName(sorted_pairs(same, "x", "y")).unionByName(sorted_pairs(stars, "p.node", "q.node"))
+    edges = alike(cut(pairs.distinct(), "stars"), own, ids, width, similarity)
+    parts = cut(connected_components(edges), "parts")
+    held = cut(table.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
+    main = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+    held = cut(held.join(main, "key"), "apart")
+    rest = held.alias("p").where("component <> main").join(held.alias("q"), "key")
+    rest = rest.where(F.col("p.component") != F.col("q.component")).where((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))).where(enough("p", "q"))
+    edges = edges.unionByName(alike(cut(sorted_pairs(rest, "p.node", "q.node"), "rest"), own, ids, width, similarity))
+    parts = connected_components(edges)
+    named = cut(unique.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    named = attach(named, least, "component", "members", named.count()).select("node", "n", "component_id")
+    return attach(ids, named, "node", "n", ids.count()).select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_least(docs: DataFrame, parts: DataFrame, id_col: str) -> DataFrame:
     kept = parts.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
     own = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
     at = f"_{docs.columns.index(id_col)}"
     return own.join(kept, F.col(at).eqNullSafe(F.col("_keep")), "left_semi").toDF(*docs.columns)
+
+
+def drop_near_copies(docs: DataFrame, width: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document of each component, that of least id; all columns kept. Rows with a null id go only where their component has another."""
+    return keep_least(docs, simhash_components(docs, width, distance, id_col, text_col), id_col)
+
+
+def drop_similar(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """drop_near_copies() with the components of similar_components()."""
+    return keep_least(docs, similar_components(docs, width, similarity, id_col, text_col), id_col)

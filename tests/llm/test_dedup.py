@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from docframe.llm import exact_dedup, simhash, suffix_dedup
 from docframe.llm.shared import connected_components
 
@@ -118,6 +119,37 @@ def test_fingerprints_and_components(spark):
     assert simhash.simhash_components(docs.limit(0)).count() == 0
 
 
+def test_similar_stage(spark):
+    """The pipeline's stage links all pairs of five-word similarity 0.8 or more, however many bits their fingerprints differ in, and no others."""
+    rng = random.Random(8)
+    noise = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    line, texts = noise(12), []
+    for size in (12, 40, 90, 300):
+        for changes in (1, 2, 4):
+            base = noise(size) + line
+            for _ in range(8):
+                other = list(base)
+                for at in rng.sample(range(size), changes):
+                    other[at] = f"x{rng.randrange(10**6)}"
+                texts.append(" ".join(other))
+    texts += [" ".join(noise(6) + line + line) for _ in range(60)] + [" ".join(line)] * 3 + [None, "", " \n", "one two", "One  TWO", "two one", texts[40] + " end", texts[80] + " " + texts[80]]
+    rows = [(i, t, "m") for i, t in enumerate(texts)] + [(None, texts[0], "n")]
+    shingles = []
+    for t in texts:
+        words = (t or "").lower().split()
+        shingles.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    edges = [(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if 5 * len(shingles[a] & shingles[b]) >= 4 * len(shingles[a] | shingles[b])]
+    fps = [simhash.fingerprint(t or "", 3) for t in texts]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in edges) > 50
+    wanted = brute_components(range(len(texts)), edges)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string")
+    kept = corpus_pipeline.near_stage(spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(wanted.values())
+    got = {r.doc_id: r.component_id for r in simhash.similar_components(docs).collect()}
+    assert got == wanted | {None: wanted[0]}
+    assert simhash.similar_components(docs.limit(0)).count() == 0
+
+
 def brute_suffix(texts, length=suffix_dedup.LENGTH):
     data = [(t or "").encode() for t in texts]
     seen = defaultdict(int)
