@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,64 +19,108 @@ from docframe.llm.shared import cut, pick
 #: Slots of a hashed document vector, dimensions it is projected to, bits of a coordinate, tokens of a sequence.
 SLOTS, DIMENSIONS, BITS, LENGTH = 1024, 4, 10, 2048
 SEED = 20240
-#: Words that a worker remembers before it starts afresh.
-WORDS = 1_000_000
+#: Words that a worker remembers before it starts afresh, bytes of text whose words are looked up together, documents whose vectors are.
+WORDS, SLICE, DOCUMENTS = 600_000, 1 << 23, 512
 
 
-class WordTokens(dict):
-    """Token ids (two bytes each) of the words of a tokenizers file whose pre-tokens never hold white space, as far as they are remembered.
+class WordTokens:
+    """Token ids of whole texts by a tokenizers file whose pre-tokens never hold white space.
 
-    A word of Latin letters is looked up in lower case, and without a dot or comma at its end, which
-    is a pre-token of its own. Texts that hold one of the four separators which only some libraries
-    call white space are encoded whole.
+    A column of texts falls into words at ASCII white space, and each different word of it is looked
+    up once; what is not remembered is tokenized by the library. Texts of letters below U+0240 are
+    lower-cased beforehand, as the file's normalizer would. Strings of the file's special tokens keep
+    their ids, as add_special_tokens=False leaves them.
     """
 
-    ODD = frozenset("\x1c\x1d\x1e\x1f")
-    END = frozenset(".,")
+    ENDS = frozenset(".,")
+    #: The first byte of all letters from U+0240 on is this or greater; the letter I with a dot has two lower-case letters.
+    LEAD, DOTTED = 0xC9, "\u0130"
+    OTHER = re.compile("[\u0240-\U0010ffff\u0130]")
 
-    def __init__(self, path: str, last: int):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.model, self.split = self.tokenizer.model, self.tokenizer.pre_tokenizer.pre_tokenize_str
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids are kept in two bytes")
-        self.model = self.tokenizer.model
-        self.last = np.uint16(last)
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if word.isascii() or (max(word) < "\u0250" and "\u0130" not in word):
+        if not self.model.end_of_word_suffix:
+            raise ValueError("a pre-token's last id must tell its end")
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([*map(re.escape, self.special), self.OTHER.pattern]))
+        self.last_of_piece = np.zeros(1 << 16, bool)
+        self.last_of_piece[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.model.end_of_word_suffix)]] = True
+        self.clear()
+
+    def clear(self) -> None:
+        """Word number n has sizes[n] ids, from starts[n] on in flat; the empty word is number 0."""
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def learn(self, words: list[str]) -> None:
+        """New words are numbered, those of Latin letters without special tokens first, pre-token by pre-token."""
+        odd, pieces, counts, plain, rest = self.odd.search, [], [], [], []
+        for word in words:
+            if odd(word):
+                rest.append(word)
+                continue
+            plain.append(word)
             low = word.lower()
-            if low != word:
-                return self.keep(word, self[low])
-            if len(word) > 1 and word[-1] in self.END and word[-2].isalpha():
-                return self.keep(word, self[word[:-1]] + self[word[-1]])
-            ids = self.letters(word) if word.isalpha() else self.whole(word)
-        else:
-            ids = self.whole(word)
-        if len(self) >= WORDS:
+            if low.isalpha():
+                pieces.append(low if low.isascii() else to_letters(low.encode()))
+                counts.append(1)
+            elif low[-1] in self.ENDS and low[:-1].isalpha():
+                pieces += (low[:-1] if low.isascii() else to_letters(low[:-1].encode()), low[-1])
+                counts.append(2)
+            else:
+                own = self.split(low)
+                pieces += [letters for letters, _ in own]
+                counts.append(len(own))
+        tokenize = self.model.tokenize
+        ids = np.array([t.id for p in pieces for t in tokenize(p)], np.uint16)
+        ends = np.concatenate([[0], np.flatnonzero(self.last_of_piece[ids]) + 1])[np.cumsum([0, *counts])]
+        others = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in rest]
+        sizes = np.concatenate([np.diff(ends), np.array([len(o) for o in others], np.int64)])
+        self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, ids, np.array([i for o in others for i in o], np.uint16)])
+
+    def lower(self, texts: pa.Array) -> pa.Array:
+        """Lower-cased are the texts whose letters have a lower case that all libraries agree on; special tokens' strings must not arise by it."""
+        offsets, data = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1], np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        others = np.flatnonzero(data[offsets[0] : offsets[-1]] >= self.LEAD) + offsets[0]
+        plain = pc.invert(pc.match_substring(texts, self.DOTTED)).to_numpy(zero_copy_only=False)
+        plain[np.unique(np.searchsorted(offsets, others, "right") - 1)] = False
+        low = pc.utf8_lower(texts)
+        for s in self.special:
+            plain &= ~pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+        return low if plain.all() else pc.if_else(pa.array(plain), low, texts)
+
+    def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """uint16 ids of all texts end to end, each text's followed by the last id, and where texts start and end."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        lists = pc.ascii_split_whitespace(self.lower(texts))
+        words = lists.flatten().dictionary_encode()
+        different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > WORDS:
             self.clear()
-        self[word] = ids
-        return ids
-
-    def keep(self, word: str, ids: bytes) -> bytes:
-        """Short words come again; longer ones with capitals or ends are put together anew."""
-        if len(word) <= 9:
-            self[word] = ids
-        return ids
+        numbers = list(map(self.known.get, different))
+        missing = [w for w, n in zip(different, numbers) if n is None]
+        if missing:
+            self.learn(missing)
+            numbers = list(map(self.known.__getitem__, different))
+        which = np.array(numbers, np.int64)[words.indices.to_numpy()]
+        ends = np.concatenate([[0], np.cumsum(self.sizes[which])])
+        at = np.arange(ends[-1]) + np.repeat(self.starts[which] - ends[:-1], self.sizes[which])
+        starts = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]
+        return np.insert(self.flat[at], starts[1:], last), starts + np.arange(len(starts))
 
-    def letters(self, word: str) -> bytes:
-        """Of a lower-case word of letters, which is one pre-token."""
-        return np.array([t.id for t in self.model.tokenize(to_letters(word.encode()))], np.uint16).tobytes()
 
-    def encode(self, text: str) -> np.ndarray:
-        """uint16 ids, then the last id."""
-        ids = b"".join([self[w] for w in text.split()]) if self.ODD.isdisjoint(text) else self.whole(text)
-        return np.append(np.frombuffer(ids, np.uint16), self.last)
+@functools.cache
+def word_tokens(path: str) -> WordTokens:
+    """A worker process keeps its words from task to task."""
+    return WordTokens(path)
 
 
 def projection() -> np.ndarray:
@@ -81,12 +128,13 @@ def projection() -> np.ndarray:
     return np.random.default_rng(SEED).standard_normal((SLOTS, DIMENSIONS))
 
 
-def coordinates(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The document's hashed, normed vector, projected, each dimension spread over 0 .. 2**BITS - 1 by the logistic curve."""
-    slots = (ids.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(22)
-    vector = np.sqrt(np.bincount(slots, minlength=SLOTS))
-    point = vector @ matrix / max(1e-9, float(np.sqrt(vector @ vector)))
-    return np.minimum((1 / (1 + np.exp(-1.7 * point)) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
+def coordinates(ids: np.ndarray, ends: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Of the documents that ends cuts ids into: hashed, normed vectors, projected, each dimension spread over 0 .. 2**BITS - 1 by the logistic curve."""
+    n = len(ends) - 1
+    slots = (ids.astype(np.uint32) * np.uint32(2654435761) >> np.uint32(22)) + np.repeat(np.arange(n, dtype=np.uint32) * np.uint32(SLOTS), np.diff(ends))
+    vectors = np.sqrt(np.bincount(slots, minlength=n * SLOTS).reshape(n, SLOTS))
+    points = vectors @ matrix / np.maximum(1e-9, np.sqrt((vectors * vectors).sum(axis=1)))[:, None]
+    return np.minimum((1 / (1 + np.exp(-1.7 * points)) * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
 def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -114,19 +162,30 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of text, of one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def tokenised(docs: DataFrame, tokenizer: str, last: int, id_col: str, text_col: str) -> DataFrame:
     """(id, key, ids): ids as two bytes each."""
     matrix = projection()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(tokenizer, last)
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, len(b), 512)):
-            ids = [words.encode(t.as_py() or "") for t in batch.column(1)]
-            if ids:
-                keys = hilbert_keys(np.array([coordinates(i, matrix) for i in ids]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), pa.array([i.tobytes() for i in ids], pa.binary())], ["id", "key", "ids"])
+        words = word_tokens(tokenizer)
+        for batch in (s for b in batches for s in slices(b, 1)):
+            ids, ends = words.encode(batch.column(1), last)
+            points = [coordinates(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a], matrix) for a in range(0, len(batch), DOCUMENTS) for b in (min(len(batch), a + DOCUMENTS),)]
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends * 2), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hilbert_keys(np.concatenate(points))), data.cast(pa.binary())], ["id", "key", "ids"])
 
     own = pick(docs, id_col, text_col)
+    own = own.withColumn(text_col, F.make_valid_utf8(text_col))
     return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, key long, ids binary")
 
 
@@ -141,7 +200,8 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, last: int = 1, i
     Documents are ordered along the curve; equal keys are ordered by hash of id, so that a range of
     keys may end within a large group of like documents. Each range partition is one run of tokens,
     cut at every `length` and, at its end, into powers of two. sequence_id holds the partition in
-    its upper bits. A null text has only the last id; ids are carried as they come.
+    its upper bits. A null text has only the last id; null and repeated ids are carried as they come,
+    each row for itself. Bytes that are no UTF-8 count as U+FFFD.
     """
     rows = cut(tokenised(docs, tokenizer, last, id_col, text_col), "tokens")
     kind = rows.schema["id"].dataType.simpleString()

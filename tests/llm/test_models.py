@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -135,10 +136,10 @@ def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(8)
     texts = [" ".join(rng.choice("the cat sat. On a mat, isn't it? é 123".split()) for _ in range(rng.randrange(120))) for _ in range(60)] + [None, "", "a\x1cb c", "word " * 3000] + ["same text"] * 30
+    texts += ["a <|endoftext|> b", "x<|startoftext|>y.", "<|ENDOFTEXT|> A", "\u0130stanbul \u0391\u03a3", "\u0391\u03a3 Hello, World. <|endoftext|>", "a\u0085b\u00a0c\u3000d", "e \u0301a", "don't!!..., OK.", "\u00df \u1e9e \u017f \u01c4", "\x00a"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("key", F.lit(1))
     got = packing.pack(docs, path, length=256, tokens=True).collect()
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     for i, t in enumerate(texts):
         ids = [*library.encode(t or "", add_special_tokens=False).ids, 1]
         own = sorted((r.start, r) for r in got if r.doc_id == i)
@@ -152,6 +153,31 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_slices_nulls_and_bad_bytes(spark, monkeypatch):
+    """Each row is packed for itself, whatever its id; bytes that are no UTF-8 count as U+FFFD; slices and forgetting change no id."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.sql("select * from values (null, 'one two'), (null, 'one two'), (7, 'three'), (7, 'four five'), (8, cast(x'41ff42' as string)) as t(doc_id, text)")
+    got = packing.pack(docs.coalesce(1), path, length=64, tokens=True).collect()
+    library = Tokenizer.from_file(path)
+    rows = [(None, "one two"), (None, "one two"), (7, "three"), (7, "four five"), (8, "A\ufffdB")]
+    assert sum(r.length for r in got) == sum(len(library.encode(t).ids) + 1 for _, t in rows)
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        whole.setdefault(str(r.doc_id), []).extend(r.tokens)
+    assert sorted(sum(whole.values(), [])) == sorted(x for _, t in rows for x in [*library.encode(t, add_special_tokens=False).ids, 1])
+    assert whole["8"] == [*library.encode("A\ufffdB", add_special_tokens=False).ids, 1]
+    texts = pa.array(["the cat, the dog " * 40, "", None, "Sat. On a mat " * 30])
+    monkeypatch.setattr(packing, "SLICE", 100)
+    monkeypatch.setattr(packing, "WORDS", 3)
+    words, flat = packing.WordTokens(path), []
+    parts = list(packing.slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0))
+    assert len(parts) == 2 and [t for p in parts for t in p.column(0).to_pylist()] == texts.to_pylist()
+    for p in parts:
+        ids, ends = words.encode(p.column(0), 1)
+        flat += [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+    assert flat == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts.to_pylist()]
+
+
 def test_hilbert_curve_is_continuous():
     points = np.array([(a, b) for a in range(8) for b in range(8)])
     order = np.argsort(packing.hilbert_keys(points, 3))
