@@ -13,15 +13,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docframe.llm.shared import pick
 
-#: Elements whose content is raw text and never shown.
-RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp|noscript|template|svg|math|object"
+#: Elements whose content is raw text and never shown; those whose content is markup that is not shown either, foreign ones of which end at any block.
+RAW = "script|style|title|textarea|iframe|noembed|noframes|xmp"
+UNSHOWN, FOREIGN = frozenset("noscript template svg math object".split()), frozenset("svg math".split())
 #: Inside of a tag: quotes count after an equals sign only, and must end.
 INSIDE = r"(?>[^<>\"'=]+|=\s*(?:\"[^\"]*\"|'[^']*')?|[\"'])*"
 TOKENS = re.compile(
-    rf"(?is)<!--.*?(?:--!?>|\Z)|<({RAW})\b{INSIDE}>.*?(?:</\1\b[^>]*>|\Z)"
+    rf"(?is)<!--.*?(?:--!?>|\Z)|<({RAW})(?=[\s/>]){INSIDE}>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
     rf"|<(/?)([a-z][^\s/><]*)({INSIDE})>|<[!?/][^>]*>?|([^<]+|<)"
 )
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -47,8 +49,15 @@ UNLIKELY = frozenset(
     "overlay newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs pagination pager sidebar aside widget widgets related recommended recommendations share sharing "
     "social comment comments commentlist disqus respond replies reply footer masthead toolbar skip login search topbar header".split()
 )
-#: Elements nested deeper hold nothing; what follows them stands beside them.
-DEPTH = 512
+#: Of these, words that mark adverts, notices and what readers write, wherever they stand; the others are overruled by prose within an article.
+ALWAYS = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion cookie cookies consent gdpr notice notices popup popover modal "
+    "newsletter subscribe subscription signup comments commentlist disqus respond replies reply related recommended recommendations".split()
+)
+#: Of these, words that take out an inline element too.
+ADVERTS = frozenset("ad ads adbox adslot advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion".split())
+#: Points of a text that an ancestor of some level still gets, times that level.
+LEAST = 0.01
 LIKELY = frozenset("article body content entry main page post story text blog".split())
 HOLDS_MAIN = frozenset({"article", "main"})
 #: Of these, words for what readers write: it may hold articles of its own.
@@ -76,10 +85,33 @@ def hidden(attrs: dict[str, str]) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style", "")) is not None
 
 
+class Stack(list):
+    """Open elements, and where those of each tag stand, so that the nearest is found at once however deep they nest."""
+
+    def __init__(self, root: Node):
+        super().__init__([root])
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self))
+        self.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self) > at:
+            self.at[self.pop().tag].pop()
+
+    def nearest(self, tags, border=frozenset()) -> int:
+        """The place of the innermost open element of these tags, unless one of the border's is nearer; 0 if there is none."""
+        own = max((places[-1] for t in tags if (places := self.at.get(t))), default=0)
+        return own if own and all(not (places := self.at.get(t)) or places[-1] < own for t in border) else 0
+
+
 def parse(source: str) -> Node:
     """The page's blocks as a tree. Inline elements make no node, but for those that hide or mark out what they hold."""
     root = Node("#root", "", None, 0)
-    stack, parts, linked, in_link, order = [root], [], 0, False, 0
+    stack, parts, linked, in_link, order = Stack(root), [], 0, False, 0
+    unshown, depth = "", 0  # the element whose content is passed over, and how many of its kind are open
+    last: dict[str, int] = {}  # where the last end tag of an element stands
 
     def flush() -> None:
         nonlocal parts, linked
@@ -93,30 +125,38 @@ def parse(source: str) -> Node:
         nonlocal in_link
         flush()
         in_link = False
-        del stack[at:]
+        stack.cut(at)
 
-    def nearest(tags, border=frozenset()) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                return i
-            if stack[i].tag in border:
-                break
-        return 0
+    def open_node(tag: str, attrs: str) -> None:
+        nonlocal order
+        order += 1
+        node = Node(tag, attrs, stack[-1], order)
+        stack[-1].items.append(node)
+        stack.push(node)
 
     for m in TOKENS.finditer(source):
         text = m[5]
         if text is not None:
-            parts.append(text)
-            if in_link:
-                linked += len(text.strip())
+            if not unshown:
+                parts.append(text)
+                if in_link:
+                    linked += len(text.strip())
             continue
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        if unshown:
+            if tag == unshown and not (tag in FOREIGN and m[4].endswith("/")):
+                depth += -1 if m[2] else 1
+                if not depth:
+                    unshown = ""
+            if not (unshown in FOREIGN and tag in BLOCKS and not m[2]):
+                continue
+            unshown = ""
         if m[2]:
             if tag in BLOCKS:
-                at = nearest({tag})
+                at = stack.nearest({tag})
                 if at:
                     close(at)
                 else:
@@ -126,32 +166,30 @@ def parse(source: str) -> Node:
             elif stack[-1].tag == tag:  # an inline element with a node
                 close(len(stack) - 1)
             continue
-        if tag in BLOCKS:
+        if tag in UNSHOWN:
+            if tag not in last:
+                last[tag] = max((e.start() for e in re.finditer(rf"(?i)</{tag}(?=[\s/>])", source)), default=-1)
+            if last[tag] > m.end() and not (tag in FOREIGN and m[4].endswith("/")):
+                unshown, depth = tag, 1
+        elif tag in BLOCKS:
             flush()
             in_link = False
             if tag == "hr":
                 continue
-            if tag in ENDS_P and (at := nearest({"p"}, {"button", "td", "th", "caption"})):
+            if tag in ENDS_P and (at := stack.nearest({"p"}, {"button", "td", "th", "caption"})):
                 close(at)
-            if tag in SAME and (at := nearest(*SAME[tag])):
+            if tag in SAME and (at := stack.nearest(*SAME[tag])):
                 close(at)
-            order += 1
-            node = Node(tag, m[4], stack[-1], order)
-            stack[-1].items.append(node)
-            if len(stack) < DEPTH:
-                stack.append(node)
+            open_node(tag, m[4])
         elif tag == "br":
             parts.append("\n")
         elif tag == "a":
             in_link = True
         elif tag not in VOID and m[4] and ("class" in m[4] or "id" in m[4] or "hidden" in m[4] or "style" in m[4]):
             attrs = attributes(m[4])
-            if hidden(attrs) or name_words(attrs) & UNLIKELY:
+            if hidden(attrs) or name_words(attrs) & ADVERTS:
                 flush()
-                order += 1
-                node = Node(tag, m[4], stack[-1], order)
-                stack[-1].items.append(node)
-                stack.append(node)
+                open_node(tag, m[4])
     flush()
     return root
 
@@ -171,9 +209,11 @@ def prune(root: Node) -> list[Node]:
             while up is not None and id(up) not in kind:
                 kind.add(id(up))
                 up = up.parent
-    chars = {}
+    chars, links, ends = {}, {}, {}
     for node in reversed(nodes):
         chars[id(node)] = sum(chars[id(x)] if isinstance(x, Node) else len(x[0]) for x in node.items)
+        links[id(node)] = sum(links[id(x)] if isinstance(x, Node) else x[1] for x in node.items)
+        ends[id(node)] = any(ends[id(x)] if isinstance(x, Node) else x[0].endswith((".", "!", "?", ":", "\u3002")) for x in node.items)
     total = chars[id(root)]
     kept, todo = [], [(root, False)]
     while todo:
@@ -190,7 +230,8 @@ def prune(root: Node) -> list[Node]:
             gone = gone or x.tag == "header" and not inside
             gone = gone or x.tag == "form" and (inside or id(x) not in holds and chars[id(x)] < total / 2)
             words = name_words(attrs) & UNLIKELY - ({"header"} if inside else frozenset())
-            likely = id(x) in sure or id(x) in holds and chars[id(x)] > total / 2 and not words & REPLIES
+            prose = inside and not words & ALWAYS and (x.tag in HEADINGS or ends[id(x)] and 4 * links[id(x)] < chars[id(x)])
+            likely = prose or x.tag == "h1" or x.tag not in BLOCKS and not words & ADVERTS or id(x) in sure or id(x) in holds and chars[id(x)] > total / 2 and not words & REPLIES
             gone = gone or bool(words) and x.tag not in ("html", "body", "main", "article") and not likely
             gone = gone or x.tag == "article" and bool(words & (REPLIES | {"related"}))
             if not gone:
@@ -201,6 +242,7 @@ def prune(root: Node) -> list[Node]:
 
 
 def score(nodes: list[Node]) -> None:
+    """Points pass to all ancestors, less with each level, until they no longer count; nodes come parents first."""
     for node in nodes:
         node.score = node.chars = node.links = 0
     for node in nodes:
@@ -212,14 +254,15 @@ def score(nodes: list[Node]) -> None:
             up, level = node.parent if node.tag in PARAGRAPHS else node, 0
             while up is not None and up.tag in PARAGRAPHS and up.parent is not None:
                 up = up.parent
-            while up is not None:
+            while up is not None and points > LEAST * level:
                 up.score += points / (1, 2)[level] if level < 2 else points / (3 * level)
                 up, level = up.parent, level + 1
-            up = node
-            while up is not None:
-                up.chars += len(text)
-                up.links += linked
-                up = up.parent
+            node.chars += len(text)
+            node.links += linked
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.links += node.links
     for node in nodes:
         if node.tag not in PARAGRAPHS and node.chars:
             words = name_words(attributes(node.attrs))
@@ -271,13 +314,17 @@ def main_text(source: str | None) -> str:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """id_col, url_col, text, n_chars for every page; a null or empty page has the empty text. Ids, urls and repeated rows pass as they come."""
+    """id_col, url_col, text, n_chars for every page; a null or empty page has the empty text.
+
+    Ids, urls and repeated rows pass as they come. Of containers with equal scores the first in page
+    order is the best. Bytes that are no UTF-8 count as U+FFFD. Elements may nest to any depth.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [main_text(h.as_py()) for h in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n"])
 
-    own = pick(pages, id_col, url_col, html_col)
+    own = pick(pages, id_col, url_col, html_col).withColumn(html_col, F.make_valid_utf8(html_col))
     a, b = (own.schema[i].dataType.simpleString() for i in (0, 1))
     return own.mapInArrow(run, f"id {a}, url {b}, text string, n long").toDF(id_col, url_col, "text", "n_chars")
