@@ -1,23 +1,31 @@
 """Exact top-k by integer inner product: distributed histogram selection.
 
-For a block of queries, every pass scores all candidates. The first passes count scores in global
-histograms, each narrowing the interval that holds a query's k-th score, until it is one value. The
-last pass keeps what lies above that value and, of the ties at it, those of smallest id.
+For a block of queries, every pass scores all candidates. The first finds the greatest score, and
+each task's own k-th: the greatest of these bounds the k-th of all from below. The next passes count
+scores from there on in global histograms, each narrowing the interval that holds a query's k-th
+score, until it is one value. The last pass keeps what lies above that value and, of the ties at it,
+those of smallest id.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import cut, pick
+from docframe.llm.shared import cut, pick, remove
 
-#: Queries in a block, candidates scored at once, bins of a histogram. A block's queries are broadcast: QUERIES x dimensions x 8 bytes.
-QUERIES, CANDIDATES, BINS = 4096, 512, 1024
+#: Queries in a block, candidates scored at once, bins of a histogram, blocks at work at once. A block's queries are broadcast: QUERIES x dimensions x 8 bytes.
+QUERIES, CANDIDATES, BINS, BLOCKS = 4096, 512, 1024, 4
+#: Stands for a score that does not count; real ones are greater.
+NONE = -(2**63)
+#: Scores of which the first pass looks at the greatest only.
+GROUP = 16
 
 
 def integer_vectors(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -40,14 +48,14 @@ class Block:
         self.most = float(np.abs(vectors).max(initial=0))
 
     def score(self, candidates: np.ndarray) -> np.ndarray:
-        """(candidates x queries) as int64; sums beyond a long take its end."""
+        """(candidates x queries) as int64; sums beyond 2**62 take its place."""
         bound = self.most * float(np.abs(candidates).max(initial=0)) * max(1, self.vectors.shape[1])
         if bound < 2**24:
             return (candidates.astype(np.float32) @ self.vectors.astype(np.float32).T).astype(np.int64)
         if bound < 2**53:
             return (candidates @ self.vectors.T).astype(np.int64)
         whole = [[int(x) for x in row] for row in self.vectors]
-        return np.array([[max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip([int(x) for x in c], q)))) for q in whole] for c in candidates], np.int64).reshape(len(candidates), len(whole))
+        return np.array([[max(-(2**62), min(2**62, sum(a * b for a, b in zip([int(x) for x in c], q)))) for q in whole] for c in candidates], np.int64).reshape(len(candidates), len(whole))
 
 
 def scored(batches: Iterator[pa.RecordBatch], blocks: dict[int, Block]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
@@ -68,19 +76,18 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: i
 
     A candidate with the query's own id does not count. Of queries that repeat an id one is
     answered, that with the least vector; repeated candidate rows count each. Vectors of another
-    dimension than the query's take no part.
+    dimension than the query's take no part, nor do null ids.
     """
     spark = candidates.sparkSession
     rows = cut(integer_vectors(candidates, id_col, vector_col, scale), "vectors")
     asked = cut(integer_vectors(queries, id_col, vector_col, scale).groupBy("id").agg(F.min("v").alias("v")), "queries")
     kind = rows.schema["id"].dataType.simpleString()
-    results, edges = [], asked.approxQuantile("id", [i / n for i in range(1, n)], 0.0005) if (n := -(-asked.count() // QUERIES)) > 1 else []
-    bounds = [None, *sorted(set(edges)), None]
-    for lo, hi in zip(bounds, bounds[1:]):
-        own = asked
-        own = own.where(F.col("id") > lo) if lo is not None else own
-        own = own.where(F.col("id") <= hi) if hi is not None else own
-        results.append(cut(answer(spark, rows, own, k, kind), "topk"))
+    numbered, blocks = in_blocks(asked)
+    work = inheritable_thread_target(spark)(lambda n: cut(answer(spark, rows, numbered.where(F.col("block") == n).drop("block"), k, kind), "topk"))
+    with ThreadPoolExecutor(BLOCKS) as pool:
+        results = list(pool.map(work, range(max(1, blocks))))
+    for used in (rows, asked, numbered):
+        remove(used)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
@@ -88,9 +95,26 @@ def exact_top_k(candidates: DataFrame, queries: DataFrame, k: int = 20, scale: i
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
+def in_blocks(asked: DataFrame) -> tuple[DataFrame, int]:
+    """asked with a column block, each of QUERIES rows at most, and the number of blocks.
+
+    Rows are numbered by partition and place within it; the driver gets the partitions' sizes only.
+    """
+    placed = cut(asked.withColumn("at", F.monotonically_increasing_id()), "places")
+    sizes = dict(placed.groupBy(F.shiftright("at", 33).alias("part")).agg(F.count("*").alias("n")).collect())
+    before, total = [], 0
+    for part in sorted(sizes):
+        before.append((part, total))
+        total += sizes[part]
+    starts = asked.sparkSession.createDataFrame(before, "part long, before long")
+    joined = placed.withColumn("part", F.shiftright("at", 33)).join(F.broadcast(starts), "part")
+    number = F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return cut(joined.select("id", "v", F.floor(number / QUERIES).cast("long").alias("block")), "blocks"), -(-total // QUERIES)
+
+
 def answer(spark, rows: DataFrame, asked: DataFrame, k: int, kind: str) -> DataFrame:
     """(query_id, id, score): for one block of queries, at most k rows a query and task, among them the answers."""
-    got = asked.collect()  # about QUERIES rows
+    got = asked.collect()  # QUERIES rows at most
     blocks = {}
     for size in {len(r.v) for r in got}:
         own = [r for r in got if len(r.v) == size]
@@ -98,20 +122,27 @@ def answer(spark, rows: DataFrame, asked: DataFrame, k: int, kind: str) -> DataF
     sent = spark.sparkContext.broadcast(blocks)
 
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of this task's scores of others: the least, the greatest, and the k-th, or one below it."""
         found: dict[int, list] = {}
         for block, ids, s in scored(batches, sent.value):
-            size = block.vectors.shape[1]
-            low, high = s.min(axis=0), s.max(axis=0)
-            f = found.setdefault(size, (block, low, high))
-            found[size] = (block, np.minimum(f[1], low), np.maximum(f[2], high))
-        for block, low, high in found.values():
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(low), pa.array(high)], ["q", "low", "high"])
-
-    ends = rows.mapInArrow(extremes, f"q {kind}, low long, high long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+            f = found.setdefault(block.vectors.shape[1], [block, None, np.full((k, len(block.ids)), NONE)])
+            own = np.where(ids[:, None] == block.ids, NONE, s)
+            pad = -len(own) % GROUP
+            tops = np.concatenate([own, np.full((pad, own.shape[1]), NONE)]).reshape(-1, GROUP, own.shape[1]).max(axis=1)
+            best = np.concatenate([f[2], tops])
+            f[2] = np.partition(best, len(best) - k, axis=0)[-k:]
+            low = np.where(ids[:, None] == block.ids, 2**63 - 1, s).min(axis=0)
+            f[1] = low if f[1] is None else np.minimum(f[1], low)
+        for block, low, best in found.values():
+            yield pa.RecordBatch.from_arrays([pa.array(block.ids), pa.array(low), pa.array(best.max(axis=0)), pa.array(best.min(axis=0))], ["q", "low", "high", "kth"])
+
+    ends = rows.mapInArrow(extremes, f"q {kind}, low long, high long, kth long").groupBy("q").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("kth").alias("kth")).collect()
     # by query: the interval [low, end) that holds the k-th score, its bins' width, and how many scores lie at its end or above
     low, end, width, above = {}, {}, {}, {}
     for r in ends:
-        low[r.q], end[r.q], width[r.q], above[r.q] = r.low, r.high + 1, max(1, -(-(r.high - r.low + 1) // BINS)), 0
+        if r.high > NONE:
+            low[r.q], end[r.q], above[r.q] = max(r.low, r.kth), r.high + 1, 0
+            width[r.q] = max(1, -(-(end[r.q] - low[r.q]) // BINS))
     while True:
         steps = {size: tuple(np.array([x.get(q, 1) for q in b.ids.tolist()]) for x in (low, end, width)) for size, b in blocks.items()}
         now = spark.sparkContext.broadcast(steps)
@@ -146,15 +177,15 @@ def answer(spark, rows: DataFrame, asked: DataFrame, k: int, kind: str) -> DataF
             low[r.q] += r.bin * width[r.q]
             end[r.q] = min(end[r.q], low[r.q] + width[r.q])
             above[r.q] = r.upto - r.n
-        short = [q for q in above if q not in met]  # fewer than k candidates: all count
+        short = [q for q in above if q not in met]  # fewer than k candidates: all count, and no histogram is needed
         for q in short:
-            low[q], width[q] = -(2**63), 1
+            low[q], end[q], width[q] = NONE, NONE, 1
             del above[q]
         if all(width[q] == 1 for q in above):
             break
         for q in above:
             width[q] = max(1, -(-width[q] // BINS))
-    last = {size: np.array([low.get(q, -(2**63)) for q in b.ids.tolist()]) for size, b in blocks.items()}
+    last = {size: np.array([low.get(q, NONE) for q in b.ids.tolist()]) for size, b in blocks.items()}
     spare = {size: np.array([k - above[q] if q in above else 0 for q in b.ids.tolist()]) for size, b in blocks.items()}
     cuts = spark.sparkContext.broadcast((last, spare))
 
@@ -164,10 +195,10 @@ def answer(spark, rows: DataFrame, asked: DataFrame, k: int, kind: str) -> DataF
             size = block.vectors.shape[1]
             limit, room = cuts.value[0][size], cuts.value[1][size]
             other = ids[:, None] != block.ids
-            c, q = np.nonzero(((s > limit) | (limit == -(2**63))) & other)
+            c, q = np.nonzero(((s > limit) | (limit == NONE)) & other)
             if len(c):
                 yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(ids[c]), pa.array(s[c, q])], ["q", "id", "score"])
-            c, q = np.nonzero((s == limit) & (limit != -(2**63)) & other)
+            c, q = np.nonzero((s == limit) & (limit != NONE) & other)
             own = ties.setdefault(size, {})
             by = np.argsort(q, kind="stable")
             where, first = np.unique(q[by], return_index=True)
