@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import attach, cut, key_bitmaps, new_path, perhaps_in, pick
+from docframe.llm.shared import attach, cut, flagged, key_bitmaps, perhaps_in, pick, scratch, without_rows
 
 
 def sha256(text: Column) -> Column:
@@ -18,9 +18,12 @@ class DigestIndex:
     """A log-structured merge index from digest to (least and greatest id, number of rows).
 
     insert() flushes a batch: every task sorts its memtable, the rows of its input slice, by digest
-    and writes it as a run with Parquet Bloom filters on the digest. compact() merges all runs and
-    the last generation into one generation, one row a digest. probe_filter() is a bitmap over the
-    digests held more than once. Everything lies in the shared folder; each write goes to a new path.
+    and writes it as a sorted run with Parquet Bloom filters on the digest. compact() merges all runs
+    and the last generation into one generation, one row a digest, sorted within its files; tasks
+    merge their own rows of a digest first, so that one with very many rows does not pile up.
+    probe_filter() is a bitmap over the digests held more than once: rows that it does not hold are
+    alone and need no look-up. lookup() probes a filter of the batch's digests before it reads the
+    generation. Everything lies in the shared folder; each write goes to a new path.
     """
 
     def __init__(self, spark: SparkSession):
@@ -28,9 +31,7 @@ class DigestIndex:
 
     def insert(self, batch: DataFrame) -> DataFrame:
         """batch: (id, digest). Returns the run as it was written."""
-        path = new_path(self.spark, "run")
-        batch.sortWithinPartitions("digest").write.option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        run = self.spark.read.schema(batch.schema).parquet(path)
+        run = cut(batch.sortWithinPartitions("digest"), "run", **{"parquet.bloom.filter.enabled#digest": "true"})
         self.runs.append(run)
         return run
 
@@ -42,15 +43,42 @@ class DigestIndex:
         for p in parts[1:]:
             merged = merged.unionByName(p)
         merged = merged.groupBy("digest").agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"), F.sum("n").alias("n"))
-        self.generation = cut(merged, "generation", **{"parquet.bloom.filter.enabled#digest": "true"})
+        self.generation = cut(merged.sortWithinPartitions("digest"), "generation", **{"parquet.bloom.filter.enabled#digest": "true"})
         self.runs = []
         return self.generation
 
+    def lookup(self, batch: DataFrame) -> DataFrame:
+        """What the generation holds of the digests of batch (digest): a bitmap of them tells which of its rows may be asked for, then a join does."""
+        asked = cut(batch.select("digest").distinct(), "asked")
+        return perhaps_in(self.generation, "digest", key_bitmaps(asked, "digest")).join(asked, "digest", "left_semi")
+
     def probe_filter(self) -> tuple[DataFrame, int]:
         """Bitmaps over the digests that the index holds more than once."""
         return key_bitmaps(self.generation.where("n > 1"), "digest")
 
 
+def named(rows: DataFrame, keep: str, kept: Callable[..., None]) -> DataFrame:
+    """(id, digest, keep_id, group_size) of rows (id, text, digest). kept() is told the tables that the result reads."""
+    index = DigestIndex(rows.sparkSession)
+    run = index.insert(rows.select("id", "digest"))
+    index.compact()
+    total, repeated = run.count(), index.probe_filter()
+    best = (F.max if keep == "greatest" else F.min)("id")
+    classes = perhaps_in(rows, "digest", repeated).groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
+    clashing = cut(classes.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n")).where("texts > 1").select("digest", "n"), "clashing")
+    found = flagged(run, F.col("digest"), repeated)
+    single = found.where("not _perhaps").select("id", "digest", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    met, held = found.where("_perhaps").drop("_perhaps"), index.generation.select("digest", F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
+    kept(run, index.generation, repeated[0])
+    if clashing.isEmpty():
+        return single.unionByName(attach(met, held, "digest", "group_size", total))
+    kept(clashing)
+    plain = attach(met.join(clashing, "digest", "left_anti"), held.join(clashing, "digest", "left_anti"), "digest", "group_size", total)
+    clash = attach(perhaps_in(rows, "digest", repeated), clashing, "digest", "n", total).drop("n").withColumn("class", F.struct("digest", "text")).drop("digest", "text")
+    own = classes.join(clashing.select("digest"), "digest", "left_semi").select(F.struct("digest", "text").alias("class"), "keep_id", "group_size")
+    return single.unionByName(plain).unionByName(attach(clash, own, "class", "group_size", total).withColumn("digest", F.col("class.digest")).drop("class"))
+
+
 def exact_dedup(
     docs: DataFrame,
     keep: str = "greatest",
@@ -71,32 +99,17 @@ def exact_dedup(
     spark = docs.sparkSession
     rows = pick(docs, id_col, text_col).toDF("id", "text").select("id", normalise(F.coalesce("text", F.lit(""))).alias("text"))
     rows = rows.withColumn("digest", digest(F.col("text")))
-    index = DigestIndex(spark)
-    run = index.insert(rows.select("id", "digest"))
-    index.compact()
-    held = index.generation.select("digest", F.col(keep).alias("keep_id"), F.col("n").alias("group_size"))
-    total = run.count()
-    hits = perhaps_in(rows, "digest", index.probe_filter())
-    best = (F.max if keep == "greatest" else F.min)("id")
-    classes = hits.groupBy("digest", "text").agg(best.alias("keep_id"), F.count("*").alias("group_size"))
-    clashing = cut(classes.groupBy("digest").agg(F.count("*").alias("texts"), F.sum("group_size").alias("n")).where("texts > 1").select("digest", "n"), "clashing")
-    if clashing.isEmpty():
-        out = attach(run, held, "digest", "group_size", total)
-    else:
-        plain = attach(run, held.join(clashing, "digest", "left_anti"), "digest", "group_size", total)
-        clash = attach(hits, clashing, "digest", "n", total).drop("n").withColumn("class", F.struct("digest", "text")).drop("digest", "text")
-        own = classes.join(clashing.select("digest"), "digest", "left_semi").select(F.struct("digest", "text").alias("class"), "keep_id", "group_size")
-        out = plain.unionByName(attach(clash, own, "class", "group_size", total).withColumn("digest", F.col("class.digest")).drop("class"))
+    with scratch(spark) as kept:
+        out = named(rows, keep, kept)
     return out.select(F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def drop_exact_copies(docs: DataFrame, keep: str = "greatest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, all columns kept.
 
-    Rows that repeat both id and text are one row afterwards; a null id matches null ids.
+    Rows that repeat both id and text are one row afterwards, that whose columns have the least hash;
+    a null id matches null ids. Only ids and digests shuffle, and documents that may have to go.
     """
-    kept = exact_dedup(docs, keep, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep"), F.col("digest").alias("_digest"))
-    own = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    at_id, at_text = f"_{docs.columns.index(id_col)}", f"_{docs.columns.index(text_col)}"
-    joined = own.withColumn("_sha", sha256(F.coalesce(at_text, F.lit("")))).join(kept, F.col(at_id).eqNullSafe(F.col("_keep")) & (F.col("_sha") == F.col("_digest")), "left_semi")
-    return joined.dropDuplicates([at_id, "_sha"]).drop("_sha").toDF(*docs.columns)
+    found = exact_dedup(docs, keep, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("id"), F.col("digest").alias("mark"), "kept")
+    gone = found.groupBy("id", "mark").agg(F.bool_and(~F.col("kept")).alias("all"), F.count("*").alias("n")).where("all or n > 1")
+    return without_rows(docs, gone, id_col, sha256(F.coalesce(F.col(f"_{docs.columns.index(text_col)}"), F.lit(""))))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,20 +33,47 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/docframe/{tag}-{uuid.uuid4().hex}"
 
 
+_scratch = threading.local()
+
+
 def cut(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends here and survives lost executors."""
     path = new_path(df.sparkSession, tag)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if open_lists := getattr(_scratch, "lists", None):
+        open_lists[-1].append((path, out))
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Deletes the tables that cut() makes within, but for those given to the function that it yields: those that a result still reads."""
+    lists = _scratch.lists = getattr(_scratch, "lists", [])
+    lists.append([])
+    kept: list[DataFrame] = []
+    try:
+        yield lambda *tables: kept.extend(tables)
+    finally:
+        for path, table in lists.pop():
+            if any(table is k for k in kept):
+                if lists:
+                    lists[-1].append((path, table))
+            else:
+                delete(spark, path)
 
 
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by cut(), once no later plan reads it."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        if "/docframe/" in parent:
+            delete(df.sparkSession, parent)
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
@@ -52,6 +82,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return own.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators wrote to the shared folder. Results that were not written elsewhere yet read them, so call this last."""
+    delete(spark, f"{shared_root(spark)}/docframe")
+
+
 def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
     """left joined to right, which has one row a key and in `weight` the key's number of left rows.
 
@@ -71,14 +106,48 @@ def key_bitmaps(keys: DataFrame, key: str, bits_a_key: int = 16, most_bits: int
     return cut(at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap")), "bitmaps"), bits
 
 
-def perhaps_in(df: DataFrame, key: str, bitmaps: tuple[DataFrame, int]) -> DataFrame:
-    """The rows of df whose key may be one of those that the bitmaps were made of: all that are, and a few more. The bitmaps are broadcast."""
+def flagged(df: DataFrame, key: Column, bitmaps: tuple[DataFrame, int]) -> DataFrame:
+    """df with a column _perhaps: whether the key may be one of those that the bitmaps were made of. True for all that are, and for a few more. The bitmaps are broadcast."""
     table, bits = bitmaps
     at = df.withColumn("_at", F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))).withColumn("_bucket", F.shiftright("_at", 15))
-    met = at.join(F.broadcast(table.toDF("_bucket", "_bitmap")), "_bucket")
+    met = at.join(F.broadcast(table.toDF("_bucket", "_bitmap")), "_bucket", "left")
     bit = F.col("_at").bitwiseAND(F.lit(BITMAP_BITS - 1))
     byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return met.where(F.call_function("bit_get", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1).select(df.columns)
+    held = F.call_function("bit_get", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return met.withColumn("_perhaps", F.coalesce(held, F.lit(False))).select(*df.columns, "_perhaps")
+
+
+def perhaps_in(df: DataFrame, key: str, bitmaps: tuple[DataFrame, int]) -> DataFrame:
+    """The rows of df whose key may be one of those that the bitmaps were made of."""
+    return flagged(df, F.col(key), bitmaps).where("_perhaps").drop("_perhaps")
+
+
+def keep_one(df: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key, that whose columns have the least hash. Tasks keep one row a key before the shuffle."""
+    hashable = [f.name for f in df.schema.fields if not f.dataType.simpleString().startswith(("map", "variant")) and "map<" not in f.dataType.simpleString()]
+    one = F.min_by(F.struct(*df.columns), F.struct(F.xxhash64(*hashable), F.xxhash64(F.lit(1), *hashable))).alias("_one")
+    return df.groupBy(*keys).agg(one).select("_one.*")
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, mark_of: Column) -> DataFrame:
+    """docs without the rows whose id and mark (a column of docs) gone (id, mark, all) holds: all of them, or all but one where `all` is false.
+
+    Whole documents shuffle only where bitmaps of gone say that they may be in it.
+    """
+    names = docs.columns
+    with scratch(docs.sparkSession) as keep:
+        gone = cut(gone.select("id", "mark", "all"), "gone")
+        bitmaps = key_bitmaps(cut(gone.select(F.xxhash64("id", "mark").alias("key")), "keys"), "key")
+        keep(gone, bitmaps[0])
+    rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at = f"_{names.index(id_col)}"
+    rows = rows.withColumn("_mark", mark_of)
+    sorted_out = flagged(rows, F.xxhash64(at, "_mark"), bitmaps)
+    stay = sorted_out.where(~F.col("_perhaps")).drop("_perhaps")
+    met = sorted_out.where("_perhaps").drop("_perhaps").join(gone.toDF("_id", "_own", "_all"), F.col(at).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_own")), "left").drop("_id", "_own")
+    once = keep_one(met.where("not _all").drop("_all"), at, "_mark")
+    out = stay.unionByName(met.where("_all is null").drop("_all")).unionByName(once)
+    return out.drop("_mark").toDF(*names)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -3,9 +3,11 @@
 A fingerprint is cut into two segments of 32 bits. Two fingerprints at most three bits apart differ
 by one bit at most in one segment. So each fingerprint stands in a table for each segment, and looks
 up its segment's Hamming ball of radius one. A ball is halved: of two segments one bit apart, only
-the one whose bit is 0 looks up the other. Whole distances are verified within a bucket, which gives
-back a spanning forest of its links, never all pairs; buckets of very many fingerprints go another,
-linear way. Links become components by a distributed algorithm.
+the one whose bit is 0 looks up the other. A bucket of many rows is cut further: the bits that its key
+leaves free fall into one part more than bits may differ, so that linked fingerprints are equal in
+one, and each row goes to the bucket of each part's value. Whole distances are verified within a
+bucket, which gives back a spanning forest of its links, never all pairs. Links become components by
+a distributed algorithm.
 
 Texts whose word shingles are alike may differ in more bits than any table of 64 bits can look up.
 similar_components() links all pairs of a Jaccard similarity: links of fingerprints are only a start,
@@ -15,7 +17,7 @@ one order, with a overlap at least, the first n - a + 1 elements share one.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +25,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import BITMAP_BITS, attach, connected_components, cut, key_bitmaps, perhaps_in, pick
+from docframe.llm.shared import BITMAP_BITS, attach, connected_components, cut, key_bitmaps, perhaps_in, pick, scratch, without_rows
 
-#: Bits that linked fingerprints differ in at most, and the rows of a bucket that are compared in one task.
-DISTANCE, BUCKET = 3, 50_000
+#: Bits that linked fingerprints differ in at most, rows of a bucket beyond which it is cut further, and how often: 2**14 values then remain at most.
+DISTANCE, BUCKET, LEVELS = 3, 50_000, 3
 #: Hashes whose bits are counted at once.
 HASHES = 1 << 15
 SEGMENTS = ((0, 32), (32, 32))
@@ -60,16 +62,22 @@ def fingerprint(text: str, width: int, seed: int = 42) -> int:
     return majority(shingle_hashes(text, width, seed))
 
 
+def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, mark): mark is a hash of the text as it is; in text, bytes that are no UTF-8 become U+FFFD."""
+    own = pick(docs, id_col, text_col).toDF("id", "text")
+    return own.select("id", F.make_valid_utf8("text").alias("text"), F.xxhash64("text").alias("mark"))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp a signed long; null texts count as empty."""
+    """(id, mark, fp): fp a signed long; null texts count as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["id", "mark", "fp"])
 
-    own = pick(docs, id_col, text_col)
-    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, fp long")
+    own = marked(docs, id_col, text_col)
+    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, mark long, fp long")
 
 
 def segment_of(fps: np.ndarray, start: int, bits: int) -> np.ndarray:
@@ -119,6 +127,17 @@ def forest(own: np.ndarray, probes: np.ndarray, distance: int) -> tuple[list[int
     return a, b
 
 
+def cut_keys(key: np.ndarray, fp: np.ndarray, free: np.ndarray, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, keys, free bits) of rows of cut buckets: for each part of the free bits, a key of the old one and the part's value."""
+    for mask in np.unique(free):
+        at = np.flatnonzero(free == mask)
+        places = [b for b in range(63, -1, -1) if int(mask) >> b & 1]
+        for own in np.array_split(np.array(places, np.uint64), parts):
+            part = np.bitwise_or.reduce(np.uint64(1) << own) if len(own) else np.uint64(0)
+            mixed = (key[at] ^ (fp[at] & part) * np.uint64(0x9E3779B97F4A7C15) ^ part * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xD6E8FEB86659FD93)
+            yield at, mixed ^ mixed >> np.uint64(32), np.full(len(at), mask & ~part)
+
+
 def links(unique: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between values of unique (fp), enough to connect all that are linked."""
 
@@ -127,10 +146,11 @@ def links(unique: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
             keys, who, own = table_rows(batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(who.view(np.int64)), pa.array(own)], ["key", "fp", "own"])
 
-    table = cut(unique.mapInArrow(spread, "key long, fp long, own boolean"), "tables")
-    sizes = table.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m"))
-    useful = cut(sizes.where("n > 1 and m > 0"), "buckets")
-    small, large = useful.where(F.col("n") <= bucket), useful.where(F.col("n") > bucket)
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, fp, free = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1, 3))
+            for at, keys, left in cut_keys(key, fp, free, distance + 1):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[at].view(np.int64)), batch.column(2).take(pa.array(at)), pa.array(left.view(np.int64))], ["key", "fp", "own", "free"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; those of a batch's last key wait for the next batch."""
@@ -156,37 +176,21 @@ def links(unique: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) ->
             yield found(*[x[:at] for x in rows])
         yield found(*rest)
 
-    rows = table.join(small.select("key"), "key", "left_semi").select("key", "fp", "own")
-    edges = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
-    if large.isEmpty():
-        return edges
-    return edges.unionByName(large_links(table.join(large.select("key"), "key", "left_semi").select("fp").distinct(), distance))
-
-
-def large_links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Edges among the fingerprints of large buckets, in rows linear in their number.
-
-    Every fingerprint marks the values up to r bits away as inner, and those at exactly distance - r
-    bits as outer, r being distance // 2. All that mark a value which some fingerprint marks as inner
-    are linked through that one; two at distance d <= distance always meet so.
-    """
-    inner, outer = distance // 2, distance - distance // 2
-    from itertools import combinations
-
-    masks = np.array([(sum(1 << b for b in bits), k <= inner) for k in range(outer + 1) for bits in combinations(range(64), k)], dtype=object)
-    flips, kinds = np.array([int(m) for m in masks[:, 0]], np.uint64), np.array(masks[:, 1], bool)
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_fps = batch.column(0).to_numpy().view(np.uint64)
-            for lo in range(0, len(all_fps), 256):
-                fp = all_fps[lo : lo + 256]
-                mark = (fp[:, None] ^ flips[None, :]).ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64)), pa.array(np.tile(kinds, len(fp)))], ["mark", "fp", "inner"])
-
-    marks = cut(fps.mapInArrow(spread, "mark long, fp long, inner boolean"), "marks")
-    first = marks.groupBy("mark").agg(F.bool_or("inner").alias("inner"), F.min("fp").alias("a"), F.max("fp").alias("z")).where("inner and a <> z")
-    return marks.select("mark", F.col("fp").alias("b")).join(first.select("mark", "a"), "mark").where("a <> b").select("a", "b").distinct()
+    high = ((1 << 32) - 1 << 32) - (1 << 64)
+    table = cut(unique.mapInArrow(spread, "key long, fp long, own boolean"), "tables").withColumn("free", F.when(F.col("key") < 0, F.lit(high)).otherwise(F.lit((1 << 32) - 1)))
+    edges = None
+    for level in range(LEVELS + 1):
+        sizes = table.groupBy("key").agg(F.count("*").alias("n"), F.count_if("own").alias("m"))
+        useful = cut(sizes.where("n > 1 and m > 0"), "buckets")
+        most = F.lit(bucket if level < LEVELS else 1 << 62)
+        rows = table.join(useful.where(F.col("n") <= most).select("key"), "key", "left_semi").select("key", "fp", "own")
+        found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a long, b long")
+        edges = found if edges is None else edges.unionByName(found)
+        large = useful.where(F.col("n") > most)
+        if large.isEmpty():
+            break
+        table = cut(table.join(large.select("key"), "key", "left_semi").select("key", "fp", "own", "free").mapInArrow(further, "key long, fp long, own boolean, free long"), "tables")
+    return edges
 
 
 def simhash_components(docs: DataFrame, width: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -195,18 +199,37 @@ def simhash_components(docs: DataFrame, width: int = 3, distance: int = DISTANCE
     Texts without a word (null, empty) have fingerprint 0, linked like any other. Null ids never are
     a component's id unless all its ids are null. Repeated rows count each; an empty table gives none.
     """
+    out = representatives(docs, width, checked(distance), id_col, text_col, bucket)
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.id").alias("component_id"))
+
+
+def checked(distance: int) -> int:
     if not 0 <= distance <= 3:
         raise ValueError("two segments with balls of radius one find up to three differing bits")
-    rows = cut(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    unique = cut(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "unique")
-    total = rows.count()
-    parts = connected_components(links(unique.select("fp"), distance, bucket))
-    named = unique.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    named = cut(named, "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = attach(named, least, "component", "members", unique.count()).select("fp", "n", "component_id")
-    out = attach(rows, named, "fp", "n", total)
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return distance
+
+
+def best_row() -> Column:
+    """Least of a component's rows: of its ids the least, null after all others, then of its texts that of least hash."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("best")
+
+
+def attached(rows: DataFrame, unique: DataFrame, parts: DataFrame, node: str, keep: Callable[..., None]) -> DataFrame:
+    """rows with their component's best row and number of rows; unique: one row a node (best, n), parts: (node, component)."""
+    named = unique.join(parts.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node))
+    named = cut(named.select(node, "best", "n", "component"), "named")
+    least = named.groupBy("component").agg(F.min("best").alias("best"), F.count("*").alias("members"), F.sum("n").alias("rows"))
+    named = cut(attach(named.drop("best"), least, "component", "members", named.count()).select(node, "n", "best", "rows"), "named")
+    keep(rows, named)
+    return attach(rows, named, node, "n", rows.count()).drop("n")
+
+
+def representatives(docs: DataFrame, width: int, distance: int, id_col: str, text_col: str, bucket: int) -> DataFrame:
+    """(id, mark, fp, best, rows) for every row of docs."""
+    with scratch(docs.sparkSession) as keep:
+        rows = cut(fingerprints(docs, width, id_col, text_col), "fingerprints")
+        unique = cut(rows.groupBy("fp").agg(best_row(), F.count("*").alias("n")), "unique")
+        return attached(rows, unique, connected_components(links(unique.select("fp"), distance, bucket)), "fp", keep)
 
 
 def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:
@@ -233,7 +256,7 @@ def common_shingles(own: DataFrame, width: int, bits: int = COMMON_BITS) -> np.n
 
 
 def prefixes(own: DataFrame, width: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(id, fp, node, n, keys): node stands for a text's set of n shingles, keys are the first of them, those not common before the others."""
+    """(id, mark, fp, node, size, keys): node stands for a text's set of so many shingles, keys are the first of them, those not common before the others."""
     top, bottom = similarity
     shared = own.sparkSession.sparkContext.broadcast(common)
 
@@ -252,9 +275,9 @@ def prefixes(own: DataFrame, width: int, similarity: tuple[int, int], common: np
                 sizes.append(n)
                 keys.append(np.concatenate([found[~last], found[last]])[: n - -(-top * n // bottom) + 1])
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)], pa.array(sizes, pa.int32()), lists], ["id", "fp", "node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)], pa.array(sizes, pa.int32()), lists], ["id", "mark", "fp", "node", "size", "keys"])
 
-    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, fp long, node long, n int, keys array<long>")
+    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, mark long, fp long, node long, size int, keys array<long>")
 
 
 def alike(pairs: DataFrame, own: DataFrame, ids: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
@@ -283,59 +306,65 @@ def similar_components(docs: DataFrame, width: int = 5, similarity: tuple[int, i
     Texts of fewer words than width are one shingle, texts without a word alike. Null ids never are
     a component's id unless all its ids are null. Repeated rows count each; an empty table gives none.
     """
+    out = similar_representatives(docs, width, similarity, id_col, text_col, bucket)
+    return out.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
+
+
+def similar_representatives(docs: DataFrame, width: int, similarity: tuple[int, int], id_col: str, text_col: str, bucket: int) -> DataFrame:
+    """(id, mark, node, best, rows) for every row of docs."""
     top, bottom = similarity
     if not 0 < top <= bottom:
         raise ValueError("similarity is a fraction (top, bottom) over 0, 1 at most")
-    own = pick(docs, id_col, text_col).toDF("id", "text")
-    rows = cut(prefixes(own, width, similarity, common_shingles(own, width)), "prefixes")
-    ids = rows.select("id", "node")
-    unique = cut(rows.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.count("*").alias("n")), "unique")
-    table = rows.select("node", F.col("n").alias("size"), F.posexplode("keys").alias("at", "key"))
-    met = cut(table.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "met")
-    table = cut(perhaps_in(table, "key", key_bitmaps(met, "key")).join(met, "key").distinct(), "shared")
-
-    def enough(x: str, y: str) -> Column:
-        """Both have, from the key on, as many shingles as they must share."""
-        return ((top + bottom) * F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")).cast("long")) >= top * (F.col(f"{x}.size") + F.col(f"{y}.size")).cast("long")
-
-    def sorted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
-        return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
-
-    named = links(unique.select("fp").distinct(), DISTANCE, bucket)
-    first = unique.groupBy("fp").agg(F.min("node").alias("node"))
-    near = named.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
-    same = unique.join(first.toDF("fp", "x"), "fp").select("x", F.col("node").alias("y"))
-    # every node to one of its key's, then every pair that is still apart
-    stars = table.groupBy("key").agg(F.min(F.struct("node", "size", "at")).alias("s")).select("key", "s.*")
-    stars = table.alias("p").join(stars.alias("q"), "key").where(enough("p", "q"))
-    pairs = sorted_pairs(near, "x", "y").unionByName(sorted_pairs(same, "x", "y")).unionByName(sorted_pairs(stars, "p.node", "q.node"))
-    edges = alike(cut(pairs.distinct(), "stars"), own, ids, width, similarity)
-    parts = cut(connected_components(edges), "parts")
-    held = cut(table.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
-    main = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    held = cut(held.join(main, "key"), "apart")
-    rest = held.alias("p").where("component <> main").join(held.alias("q"), "key")
-    rest = rest.where(F.col("p.component") != F.col("q.component")).where((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))).where(enough("p", "q"))
-    edges = edges.unionByName(alike(cut(sorted_pairs(rest, "p.node", "q.node"), "rest"), own, ids, width, similarity))
-    parts = connected_components(edges)
-    named = cut(unique.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
-    least = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
-    named = attach(named, least, "component", "members", named.count()).select("node", "n", "component_id")
-    return attach(ids, named, "node", "n", ids.count()).select(F.col("id").alias(id_col), "component_id")
-
-
-def keep_least(docs: DataFrame, parts: DataFrame, id_col: str) -> DataFrame:
-    kept = parts.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    own = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    at = f"_{docs.columns.index(id_col)}"
-    return own.join(kept, F.col(at).eqNullSafe(F.col("_keep")), "left_semi").toDF(*docs.columns)
+    with scratch(docs.sparkSession) as keep:
+        own = marked(docs, id_col, text_col)
+        rows = cut(prefixes(own, width, similarity, common_shingles(own, width)), "prefixes")
+        ids = cut(rows.select("id", "mark", "node"), "ids")
+        unique = cut(rows.groupBy("node").agg(best_row(), F.min("fp").alias("fp"), F.count("*").alias("n")), "unique")
+        table = rows.select("node", "size", F.posexplode("keys").alias("at", "key"))
+        met = cut(table.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "met")
+        table = cut(perhaps_in(table, "key", key_bitmaps(met, "key")).join(met, "key").distinct(), "shared")
+
+        def enough(x: str, y: str) -> Column:
+            """Both have, from the key on, as many shingles as they must share."""
+            return ((top + bottom) * F.least(F.col(f"{x}.size") - F.col(f"{x}.at"), F.col(f"{y}.size") - F.col(f"{y}.at")).cast("long")) >= top * (F.col(f"{x}.size") + F.col(f"{y}.size")).cast("long")
+
+        def sorted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+            return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+        named = links(unique.select("fp").distinct(), DISTANCE, bucket)
+        first = unique.groupBy("fp").agg(F.min("node").alias("node"))
+        near = named.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
+        same = unique.join(first.toDF("fp", "x"), "fp").select("x", F.col("node").alias("y"))
+        # every node to one of its key's, then every pair that is still apart
+        stars = table.groupBy("key").agg(F.min(F.struct("node", "size", "at")).alias("s")).select("key", "s.*")
+        stars = table.alias("p").join(stars.alias("q"), "key").where(enough("p", "q"))
+        pairs = sorted_pairs(near, "x", "y").unionByName(sorted_pairs(same, "x", "y")).unionByName(sorted_pairs(stars, "p.node", "q.node"))
+        edges = alike(cut(pairs.distinct(), "stars"), own, ids, width, similarity)
+        parts = cut(connected_components(edges), "parts")
+        held = cut(table.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
+        main = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+        held = cut(held.join(main, "key"), "apart")
+        rest = held.alias("p").where("component <> main").join(held.alias("q"), "key")
+        rest = rest.where(F.col("p.component") != F.col("q.component")).where((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))).where(enough("p", "q"))
+        edges = edges.unionByName(alike(cut(sorted_pairs(rest, "p.node", "q.node"), "rest"), own, ids, width, similarity))
+        return attached(ids, unique, connected_components(edges), "node", keep)
+
+
+def drop_rest(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows of found that are not their component's best; of rows that repeat the best row's id and text one stays."""
+    is_best = F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark"))
+    gone = found.where("rows > 1").groupBy("id", "mark").agg(F.bool_and(~is_best).alias("all"), F.count("*").alias("n")).where("all or n > 1")
+    return without_rows(docs, gone, id_col, F.xxhash64(f"_{docs.columns.index(text_col)}"))
 
 
 def drop_near_copies(docs: DataFrame, width: int = 3, distance: int = DISTANCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of least id; all columns kept. Rows with a null id go only where their component has another."""
-    return keep_least(docs, simhash_components(docs, width, distance, id_col, text_col), id_col)
+    """docs with one document of each component, that of least id, null after all others (of equal ids the text of least hash); all columns kept.
+
+    Rows that repeat id and text are one row afterwards, of different other columns that of least hash.
+    """
+    return drop_rest(docs, representatives(docs, width, checked(distance), id_col, text_col, BUCKET), id_col, text_col)
 
 
 def drop_similar(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """drop_near_copies() with the components of similar_components()."""
-    return keep_least(docs, similar_components(docs, width, similarity, id_col, text_col), id_col)
+    return drop_rest(docs, similar_representatives(docs, width, similarity, id_col, text_col, BUCKET), id_col, text_col)

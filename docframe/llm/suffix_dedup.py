@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import attach, cut, key_bitmaps, perhaps_in, pick, remove
+from docframe.llm.shared import attach, cut, key_bitmaps, perhaps_in, pick, remove, scratch
 
 #: Bytes of a string that counts, of an anchor's gram; grams in a window; places between cover samples.
 LENGTH, GRAM, PERIOD = 200, 64, 32
@@ -248,6 +248,13 @@ def split_buckets(contexts: DataFrame, kind: str) -> DataFrame:
 
 def repeated_spans(rows: DataFrame, kind: str, most: int = MOST) -> DataFrame:
     """(id, mark, start, stop): bytes that repeated windows cover, in spans that may overlap. rows: (id, mark, text)."""
+    with scratch(rows.sparkSession) as keep:
+        spans = spans_of_rows(rows, kind, most)
+        keep(spans)
+    return spans
+
+
+def spans_of_rows(rows: DataFrame, kind: str, most: int) -> DataFrame:
     found = cut(anchors(rows, kind), "anchors")
     twice = cut(found.groupBy("gram").agg(F.count("*").alias("met")).where("met > 1"), "twice")
     likely = perhaps_in(found, "gram", key_bitmaps(twice, "gram"))
@@ -267,7 +274,7 @@ def repeated_spans(rows: DataFrame, kind: str, most: int = MOST) -> DataFrame:
             out: dict[str, list] = {"gram": [], "n": [], "contexts": [], "place": [], "bytes": []}
             which: list[int] = []
             for i, (text, own) in enumerate(zip(batch.column(2), batch.column(3).to_pylist())):
-                data = (text.as_py() or "").encode("utf-8", "replace")
+                data = text.as_py() or b""
                 for w in own:
                     first = (w["place"] >> 16) - (w["place"] >> 8 & 255)
                     which.append(i)
@@ -279,10 +286,7 @@ def repeated_spans(rows: DataFrame, kind: str, most: int = MOST) -> DataFrame:
 
     contexts = held.mapInArrow(read, f"id {kind}, mark long, gram long, n long, contexts long, place long, bytes binary")
     if mixed.where(F.col("contexts") > most).isEmpty():
-        spans = cut(whole.unionByName(sorted_buckets(contexts, kind)), "spans")
-        for used in (shared, classes):
-            remove(used)
-        return spans
+        return cut(whole.unionByName(sorted_buckets(contexts, kind)), "spans")
     contexts = cut(contexts, "contexts")
     parts = sorted_buckets(contexts.where(F.col("contexts") <= most), kind), split_buckets(contexts.where(F.col("contexts") > most), kind)
     return cut(whole.unionByName(parts[0]).unionByName(parts[1]), "spans")
@@ -311,9 +315,28 @@ def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*parts, data[at:]])
 
 
+def joined_rest(data: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """What is left of UTF-8 bytes, without the parts of characters that a cut leaves over."""
+    parts, at = [], 0
+    for a, b in [*spans, (len(data), len(data))]:
+        start, stop = at, a
+        if at:  # bytes that go on a character begun in the span
+            while start < stop and data[start] & 0xC0 == 0x80 and start - at < 3:
+                start += 1
+        if a < len(data):  # a character that the span goes on
+            lead = stop - 1
+            while lead >= start and data[lead] & 0xC0 == 0x80 and stop - lead < 4:
+                lead -= 1
+            if lead >= start and data[lead] >= 0xC0 and stop - lead < (2 if data[lead] < 0xE0 else 3 if data[lead] < 0xF0 else 4):
+                stop = lead
+        parts.append(data[start:stop])
+        at = b
+    return b"".join(parts)
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, mark, text): id and mark, a hash of the text, tell rows apart; rows equal in both are copies."""
-    return pick(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("mark"), "text")
+    return pick(docs, id_col, text_col).toDF("id", "text").select("id", F.xxhash64("text").alias("mark"), F.col("text").cast("binary").alias("text"))
 
 
 def spans_by_row(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST) -> DataFrame:
@@ -340,7 +363,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             sizes, gone, digests, kept = [], [], [], []
             for text, spans in zip(batch.column(1), batch.column(2).to_pylist()):
-                data = (text.as_py() or "").encode("utf-8", "replace")
+                data = text.as_py() or b""
                 runs = merged(spans, len(data))
                 sizes.append(len(data))
                 gone.append(sum(b - a for a, b in runs))
@@ -360,16 +383,15 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.toDF(*[f"_{i}" for i in range(len(names))])
     at_id, at_text = f"_{names.index(id_col)}", f"_{names.index(text_col)}"
 
-    @F.arrow_udf("string")
+    @F.arrow_udf("binary")
     def cut_out(texts: pa.Array, spans: pa.Array) -> pa.Array:
         out = []
         for text, own in zip(texts, spans.to_pylist()):
             data = text.as_py()
             if own and data is not None:
-                whole = data.encode("utf-8", "replace")
-                data = without(whole, merged(own, len(whole))).decode("utf-8", "ignore")
+                data = joined_rest(data, merged(own, len(data)))
             out.append(data)
-        return pa.array(out, pa.string())
+        return pa.array(out, pa.binary())
 
     joined = rows.withColumn("_mark", F.xxhash64(at_text)).join(own.withColumnsRenamed({"id": "_id", "mark": "_own"}), F.col(at_id).eqNullSafe(F.col("_id")) & (F.col("_mark") == F.col("_own")), "left")
-    return joined.withColumn(at_text, F.when(F.col("spans").isNull(), F.col(at_text)).otherwise(cut_out(F.col(at_text), F.col("spans")))).select(rows.columns).toDF(*names)
+    return joined.withColumn(at_text, F.when(F.col("spans").isNull(), F.col(at_text)).otherwise(cut_out(F.col(at_text).cast("binary"), F.col("spans")).cast("string"))).select(rows.columns).toDF(*names)
