@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from docframe.llm.shared import pick
 
@@ -125,7 +126,8 @@ def coder(spark, vocabulary: str, pattern: str):
 def byte_bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, n_tokens, ids_sha256, decoded_sha256 of every whole text; null counts as empty, which has no ids.
 
-    Ids and repeated rows are carried through as they come; other columns are not read.
+    Null and repeated ids and repeated rows are carried through as they come; other columns are not
+    read. Bytes that are no UTF-8 count as U+FFFD.
     """
     make = coder(docs.sparkSession, vocabulary, pattern)
 
@@ -139,7 +141,7 @@ def byte_bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
             n, a, b = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n", "a", "b"])
 
-    own = pick(docs, id_col, text_col)
+    own = pick(docs, id_col, text_col).withColumn(text_col, F.make_valid_utf8(text_col))
     kind = own.schema[0].dataType.simpleString()
     return own.mapInArrow(run, f"id {kind}, n long, a string, b string").toDF(id_col, "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -154,5 +156,5 @@ def byte_bpe_ids(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
             ids = [memoryview(bpe.encode(t.as_py() or "")).cast("I").tolist() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
-    own = pick(docs, id_col, text_col)
+    own = pick(docs, id_col, text_col).withColumn(text_col, F.make_valid_utf8(text_col))
     return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, ids array<int>").toDF(id_col, "ids")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import byte_bpe, exact_dedup, html_extract, language_id, packing, simhash, suffix_dedup, token_rollup, topk, toxicity
+from docframe.llm.shared import cut, remove
 
 VOCABULARY, WORD_TOKENIZER = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
 
@@ -74,16 +75,52 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.byte_bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
+def kept_up(spark: SparkSession, sf_dir: str, states: dict[str, DataFrame]) -> DataFrame:
+    """Totals after three batches for each tokenizer version, some of them sent again.
+
+    All documents are inserted; counts of those labelled toxic are revised, to one more for a mark at
+    the end; those labelled as of no quality are deleted, with the counts that they then have.
+    """
+    labels, rollup = table(spark, sf_dir, "labels"), token_rollup.TokenRollup(spark)
+    marked, gone = (labels.where(F.col(c) == v).select(F.col("doc_id").alias("_id")).distinct() for c, v in (("toxic", 1), ("quality", 0)))
+    for version, state in states.items():
+        held = cut(state, "counts")
+        revised = held.join(marked, F.col("doc_id") == F.col("_id"), "left_semi")
+        now = held.join(marked, F.col("doc_id") == F.col("_id"), "left").withColumn("n_tokens", F.col("n_tokens") + F.col("_id").isNotNull().cast("long")).drop("_id")
+        batches = {
+            f"{version}: all": token_rollup.changes(None, held),
+            f"{version}: revised": token_rollup.changes(revised, revised.withColumn("n_tokens", F.col("n_tokens") + 1)),
+            f"{version}: deleted": token_rollup.changes(now.join(gone, F.col("doc_id") == F.col("_id"), "left_semi"), None),
+        }
+        for name, deltas in batches.items():
+            rollup.apply(name, deltas)
+        for name in (f"{version}: revised", f"{version}: all"):
+            rollup.apply(name, batches[name])
+        rollup.compact()
+        rollup.apply(f"{version}: deleted", batches[f"{version}: deleted"])
+        remove(held)
+    return rollup.totals()
+
+
 def op9_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after one batch for each tokenizer version, and the first sent again."""
     docs = table(spark, sf_dir, "documents")
-    rollup = token_rollup.TokenRollup(spark)
-    words = token_rollup.changes(None, token_rollup.counted(docs, "words", token_rollup.word_count))
+    words = token_rollup.counted(docs, "words", token_rollup.word_count)
     pieces = token_rollup.bpe_counted(docs, VOCABULARY, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
-    for batch, deltas in (("words", words), ("pieces", token_rollup.changes(None, pieces)), ("words", words)):
-        rollup.apply(batch, deltas)
-    rollup.compact()
-    return rollup.totals()
+    return kept_up(spark, sf_dir, {"words": words, VOCABULARY: pieces})
+
+
+def token_rollup_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op9_token_rollup that SQL can express."""
+    return kept_up(spark, sf_dir, {"words": token_rollup.counted(table(spark, sf_dir, "documents"), "words", token_rollup.word_count)})
+
+
+ROLLUP_SQL = r"""
+WITH gone AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0), marked AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1)
+SELECT d.source, d.lang, 'words' AS tokenizer_version, count(*) AS n_docs,
+       CAST(sum(len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+')) + CAST(m.doc_id IS NOT NULL AS INTEGER)) AS BIGINT) AS n_tokens
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = d.doc_id
+WHERE g.doc_id IS NULL GROUP BY d.source, d.lang
+"""
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,5 +141,6 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_token_rollup": op9_token_rollup,
     "op10_language_id": op10_language_id,
+    "token_rollup_words": token_rollup_words,
 }
-ORACLE_SQL = {"op3_exact_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+ORACLE_SQL = {"op3_exact_top_k": OP3_SQL, "op5_exact_dedup": OP5_SQL, "token_rollup_words": ROLLUP_SQL}

@@ -2,26 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm.byte_bpe import coder
-from docframe.llm.shared import cut, new_path, pick
+from docframe.llm.shared import new_path, pick
 
 KEYS = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
 
 
 class TokenRollup:
-    """Additive totals in a folder that all executors share.
-
-    apply() sums a batch's changes by key, writes them aside and commits them by renaming the folder
-    to the batch's name. A batch whose name is there already changes nothing, so batches may be sent
-    again after a failure. compact() writes the sum of all committed batches as a new base, named
-    with their number, and notes their names beside it; batches noted in the base no longer count.
+    """Additive totals in a folder that all executors share, kept up by batches that count once.
+
+    apply() sums a batch's changes by key and writes them as a new folder of its own below the
+    batch's; it counts once Spark has marked it as whole. Nothing is renamed or written over, so
+    this holds on file systems without atomic renames. Batches may be sent again after a failure: of
+    several attempts, which hold the same changes, the first by name counts. compact() writes the sum
+    of the last base and of the batches that it has listed, with their names, as a new base; batches
+    that a base names no longer count by themselves. A base without the mark of its names is none.
+
+    Every reader lists batches before bases, so a batch that was folded and deleted in between is in
+    the base read afterwards. Bases are named by their number of batches; each holds all that were
+    committed when its writer listed them, so the greatest holds what the others do.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
@@ -32,62 +39,98 @@ class TokenRollup:
         for d in ("batches", "bases"):
             self._fs.mkdirs(self._path(f"{self.path}/{d}"))
 
+    @staticmethod
+    def _folder(batch: str) -> str:
+        """Names of batches are kept in hexadecimal, since they may hold anything."""
+        name = batch.encode("utf-8")
+        if not 0 < len(name) <= 120:
+            raise ValueError("a batch's name has 1 to 120 bytes")
+        return name.hex()
+
     def _names(self, folder: str) -> list[str]:
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.path}/{folder}")))
 
-    def _base(self) -> str | None:
-        return max(self._names("bases"), default=None)
+    def _whole(self, path: str) -> bool:
+        return self._fs.exists(self._path(f"{path}/_SUCCESS"))
 
-    def _merged(self) -> set[str]:
-        base = self._base()
-        return {r.batch for r in self.spark.read.parquet(f"{self.path}/bases/{base}/merged").collect()} if base else set()
+    def _attempt(self, folder: str) -> str | None:
+        """The attempt that counts of a batch; None if none is whole, or if the batch was deleted meanwhile."""
+        path = f"{self.path}/batches/{folder}"
+        if not self._fs.exists(self._path(path)):
+            return None
+        return next((f"{path}/{a}" for a in self._names(f"batches/{folder}") if self._whole(f"{path}/{a}")), None)
 
-    def committed(self) -> set[str]:
-        return set(self._names("batches")) | self._merged()
+    def _base(self) -> str | None:
+        return next((f"{self.path}/bases/{b}" for b in reversed(self._names("bases")) if self._whole(f"{self.path}/bases/{b}/names")), None)
 
-    def _commit(self, staged: str, target: str) -> bool:
-        if self._fs.exists(self._path(target)):
-            self._fs.delete(self._path(staged), True)
-            return False
-        return bool(self._fs.rename(self._path(staged), self._path(target)))
+    def _state(self) -> tuple[str | None, dict[str, str]]:
+        """The base, and the attempts of the batches since, by folder. The driver gets names of batches that no compact() has folded yet only."""
+        listed = self._names("batches")
+        base = self._base()
+        folded = set(self._folded(base, listed))
+        found = {b: self._attempt(b) for b in listed if b not in folded}
+        if any(a is None and not self._fs.exists(self._path(f"{self.path}/batches/{b}")) for b, a in found.items()):
+            return self._state()  # deleted meanwhile, so a later base has it
+        return base, {b: a for b, a in found.items() if a is not None}
+
+    def _folded(self, base: str | None, folders: list[str]) -> list[str]:
+        """Those of the folders that the base names."""
+        if base is None or not folders:
+            return []
+        asked = self.spark.createDataFrame([(f,) for f in folders], "batch string")
+        return [r.batch for r in asked.join(self.spark.read.schema("batch string").parquet(f"{base}/names"), "batch", "left_semi").collect()]
+
+    def has(self, batch: str) -> bool:
+        folder = self._folder(batch)
+        return self._attempt(folder) is not None or bool(self._folded(self._base(), [folder]))
 
     def apply(self, batch: str, deltas: DataFrame) -> bool:
-        """deltas: KEYS, n_docs, n_tokens (signed). False if the batch was committed before."""
-        if batch in self.committed():
+        """deltas: KEYS, n_docs, n_tokens (signed); none at all is a batch too. False if the batch was committed before."""
+        if self.has(batch):
             return False
-        staged = f"{self.path}/staged-{batch}-{new_path(self.spark, '').rsplit('-', 1)[1]}"
-        deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(staged)
-        return self._commit(staged, f"{self.path}/batches/{batch}")
+        summed = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        own = f"{self.path}/batches/{self._folder(batch)}/{uuid.uuid4().hex}"
+        summed.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(own)
+        return self._attempt(self._folder(batch)) in (own, None)
 
-    def totals(self, with_empty: bool = False) -> DataFrame:
-        """KEYS, n_docs, n_tokens; keys without documents or tokens are left out unless asked for."""
-        base, merged = self._base(), self._merged()
-        paths = [f"{self.path}/batches/{b}" for b in self._names("batches") if b not in merged] + ([f"{self.path}/bases/{base}/totals"] if base else [])
+    def _totals(self, base: str | None, attempts: Iterable[str]) -> DataFrame:
+        paths = [*attempts, *([f"{base}/totals"] if base else [])]
         rows = self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
-        out = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+    def totals(self, with_empty: bool = False) -> DataFrame:
+        """KEYS, n_docs, n_tokens; keys without documents and tokens are left out unless asked for."""
+        base, attempts = self._state()
+        out = self._totals(base, attempts.values())
         return out if with_empty else out.where("n_docs <> 0 or n_tokens <> 0")
 
     def compact(self) -> None:
-        names = self.committed()
-        staged = f"{self.path}/staged-base-{new_path(self.spark, '').rsplit('-', 1)[1]}"
-        self.totals().coalesce(1).write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(n,) for n in sorted(names)], "batch string").coalesce(1).write.parquet(f"{staged}/merged")
-        self._commit(staged, f"{self.path}/bases/{len(names):012d}")
-        for name in self._names("batches"):
-            if name in self._merged():
-                self._fs.delete(self._path(f"{self.path}/batches/{name}"), True)
+        """Folds exactly the batches that it lists; one committed meanwhile counts by itself until the next time."""
+        base, attempts = self._state()
+        if attempts:
+            names = self.spark.createDataFrame([(b,) for b in attempts], "batch string")
+            before = int(base.rsplit("/", 1)[1].split("-")[0]) if base else 0
+            new = f"{self.path}/bases/{before + len(attempts):012d}-{uuid.uuid4().hex}"
+            self._totals(base, attempts.values()).where("n_docs <> 0 or n_tokens <> 0").write.parquet(f"{new}/totals")
+            names = names.unionByName(self.spark.read.schema("batch string").parquet(f"{base}/names")) if base else names
+            names.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{new}/names")
+        for folder in self._folded(self._base(), self._names("batches")):
+            self._fs.delete(self._path(f"{self.path}/batches/{folder}"), True)
 
 
 def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
     """Signed deltas between two states of counts (doc_id, KEYS, n_tokens): deletes, inserts, and revised counts as one of each.
 
-    A null count is 0 tokens; null keys are keys of their own; repeated rows count each.
+    A null count is 0 tokens; null keys are keys of their own; repeated rows count each. Of two
+    states one must be given.
     """
     parts = [
         state.select(*KEYS, F.lit(sign).cast("long").alias("n_docs"), (F.coalesce("n_tokens", F.lit(0)).cast("long") * sign).alias("n_tokens"))
         for state, sign in ((before, -1), (after, 1))
         if state is not None
     ]
+    if not parts:
+        raise ValueError("changes need a state before or after them")
     return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
 
 
@@ -113,11 +156,4 @@ def bpe_counted(docs: DataFrame, version: str, vocabulary: str, pattern: str, id
         for batch in batches:
             yield pa.array([len(bpe.encode(t.as_py() or "")) // 4 for t in batch], pa.int64())
 
-    return counted(docs, version, tokens, id_col, text_col)
-
-
-def load(rollup: TokenRollup, batch: str, state: DataFrame) -> DataFrame:
-    """Commits a first state and gives it back as it was written, for later changes()."""
-    held = cut(state, "counts")
-    rollup.apply(batch, changes(None, held))
-    return held
+    return counted(docs, version, lambda text: tokens(F.make_valid_utf8(text)), id_col, text_col)
