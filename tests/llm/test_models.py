@@ -1,5 +1,6 @@
 """Top-k, language ID, toxicity, tokenizers, packing, rollups and HTML against brute force and held-out rows."""
 
+import hashlib
 import random
 import struct
 import zlib
@@ -44,6 +45,50 @@ def test_top_k_few_and_none(spark):
     assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_other_dimensions_repeats_and_nulls(spark, monkeypatch):
+    """Queries with fewer than k candidates of their dimension stand beside ones that need several passes; repeated candidates count each."""
+    monkeypatch.setattr(topk, "BINS", 16)
+    rng = random.Random(3)
+    rows = [(i, [rng.uniform(-9, 9) for _ in range(6)]) for i in range(50)] + [(60, [1.0, 2.0]), (61, [3.0, 4.0]), (62, []), (63, []), (None, [1.0, 1.0]), (7, [5.0] * 6), (7, [5.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([*rows, (5, [9.0] * 6)], "vec_id long, embedding array<double>").where("vec_id is null or vec_id in (0, 5, 7, 60, 62)")
+    got = {}
+    for r in topk.exact_top_k(df, asked, k=7).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    whole = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None]
+    best = {q: min([int(np.floor(64 * x)) for x in v] for i, v in [*rows, (5, [9.0] * 6)] if i == q) for q in (0, 5, 7, 60, 62)}
+    for q, v in best.items():
+        scores = sorted((-sum(a * b for a, b in zip(v, c)), i) for i, c in whole if i != q and len(c) == len(v))[:7]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+    assert set(got) == set(best)
+
+
+def test_top_k_blocks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    asked = spark.range(100).select("id", F.array(F.col("id").cast("double")).alias("v")).repartition(6)
+    blocks, n = topk.in_blocks(asked)
+    sizes = sorted(r["count"] for r in blocks.groupBy("block").count().collect())
+    assert n == 15 and sizes == [2] + [7] * 14 and blocks.select("id").distinct().count() == 100
+
+
+def test_byte_bpe_whole_vocabulary():
+    """Every token of the vocabulary encodes as the library does, also those that merges must reach."""
+    ranks = byte_bpe.read_ranks(VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = byte_bpe.ByteBpe(byte_bpe.serialise_model(ranks), sorted(ranks.values()), public_tokenizers.PATTERN)
+    texts = [t.decode("utf-8", "ignore") for t in ranks]
+    wrong = [t for t in texts if memoryview(coder.encode(t)).cast("I").tolist() != library.encode_ordinary(t)]
+    assert len(texts) > 50_000 and wrong == []
+
+
+def test_byte_bpe_ids_pass_as_they_come(spark):
+    docs = spark.sql("select * from values (null, 'one'), (null, 'one'), (7, cast(x'41ff' as string)), (7, null) as t(doc_id, text)")
+    out = byte_bpe.byte_bpe_digests(docs, VOCABULARY, public_tokenizers.PATTERN).collect()
+    assert sorted(str(r.doc_id) for r in out) == ["7", "7", "None", "None"]
+    assert {r.decoded_sha256 for r in out} == {hashlib.sha256(x).hexdigest() for x in (b"one", "A\ufffd".encode(), b"")}
+    assert byte_bpe.byte_bpe_digests(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
+
+
 def test_byte_bpe_matches_library(spark):
     ranks = byte_bpe.read_ranks(VOCABULARY)
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -79,11 +124,13 @@ def test_language(spark):
     assert {r.lang_pred for r in language_id.predict(docs, empty).collect()} == {"und"}
 
 
-def test_language_pieces(monkeypatch):
+@pytest.mark.parametrize("chunk", [1, 2, 3, 10, 1 << 20])
+def test_language_pieces(monkeypatch, chunk):
     """Long texts in pieces score as whole ones, and texts do not run into one another."""
+    monkeypatch.setattr(language_id, "CHUNK", chunk)
     rng = np.random.default_rng(0)
     model = language_id.NaiveBayes(["a", "b"], np.zeros(2), rng.standard_normal((1 << language_id.BITS, 2)).astype(np.float32))
-    texts = ["abcdefg hij", "x", "ab", "klm nop qrs"]
+    texts = ["abcdefg hij", "x", "ab", "klm nop qrs", "abcdefghijkl", "a", "b", "the quick brown fox jumps"]
     alone = []
     for t in texts:
         points = language_id.code_points(t)
@@ -91,6 +138,46 @@ def test_language_pieces(monkeypatch):
     assert np.allclose(model.log_likelihoods(texts), alone)
 
 
+def test_language_many_and_rare(spark, monkeypatch):
+    """No language is left out, however many there are; a rare one keeps rows of a bounded sample."""
+    rows = [(3 * i + k, chr(0x4E00 + i) * 8, f"l{i:03d}") for i in range(600) for k in range(2)]
+    train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(train)
+    assert len(model.languages) == 600
+    docs = spark.createDataFrame([(i, chr(0x4E00 + i) * 5) for i in (0, 5, 599)], "doc_id long, text string")
+    assert [r.lang_pred for r in language_id.predict(docs, model).orderBy("doc_id").collect()] == ["l000", "l005", "l599"]
+    many = spark.createDataFrame([(i, "abc def", "x") for i in range(3000)] + [(9000, "qrs tuv", "y")], "doc_id long, text string, lang string")
+    small = language_id.fit(many, most_rows=50)
+    assert small.languages == ["x", "y"] and np.allclose(np.exp(small.prior), [3000 / 3001, 1 / 3001])
+    assert language_id.predict(spark.createDataFrame([(1, "qrs tuv qrs")], "doc_id long, text string"), small).first().lang_pred == "y"
+    monkeypatch.setattr(language_id, "MOST_LANGUAGES", 10)
+    with pytest.raises(ValueError):
+        language_id.fit(train)
+
+
+def test_language_scores_by_hand(spark):
+    """Scores are those of a plain naive Bayes over n-gram counters, but for hash collisions, which this corpus has none of."""
+    rows = corpus(80, 4)
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    grams = lambda t: [t[i : i + k] for k in language_id.ORDERS for i in range(len(t) - k + 1)]
+    counts = {lang: Counter(g for _, t, own in rows if own == lang for g in grams(t)) for lang in model.languages}
+    slot = lambda g: int(language_id.hashed(language_id.code_points(g), len(g))[0])
+    table = {lang: np.full(1 << language_id.BITS, 0.5) for lang in counts}
+    for lang, own in counts.items():
+        for g, n in own.items():
+            table[lang][slot(g)] += n
+    for _, text, _ in rows[:20]:
+        logs = np.array([np.log(sum(own == lang for _, _, own in rows) / len(rows)) + sum(np.log(table[lang][slot(g)] / table[lang].sum()) for g in grams(text)) for lang in model.languages])
+        p = np.exp(logs - logs.max())
+        (lang,), (score,) = model.predict([text])
+        assert lang == model.languages[int(logs.argmax())] and abs(score - p.max() / p.sum()) < 1e-4
+
+
+def test_held_out_is_defined_without_ids(spark):
+    rows = spark.createDataFrame([(None,), (1,)], "doc_id long")
+    assert [r[0] for r in rows.select(language_id.held_out(F.col("doc_id"), 4, 2)).collect()] == [True, zlib.crc32(b"1") % 4 == 2]
+
+
 def test_chain_is_forward_backward():
     rng = np.random.default_rng(1)
     n, first = 700, np.zeros(700, bool)
@@ -213,14 +300,50 @@ def test_rollup(spark):
     assert got() == final and not rollup.apply("two", delta)
     assert rollup.apply("three", token_rollup.changes(spark.createDataFrame(revised, schema), None)) and got() == wanted(rows[3:])
     rollup.compact()
-    assert got() == wanted(rows[3:]) and rollup.committed() == {"one", "two", "three"}
+    assert got() == wanted(rows[3:]) and all(map(rollup.has, ("one", "two", "three"))) and not rollup.has("four")
+    assert rollup.apply("../odd *name", token_rollup.changes(first.limit(0), None)) and rollup.has("../odd *name") and got() == wanted(rows[3:])
+    assert not rollup.apply("../odd *name", token_rollup.changes(None, first)) and got() == wanted(rows[3:])
+    for bad in ("", "x" * 121):
+        with pytest.raises(ValueError):
+            rollup.apply(bad, first)
+    with pytest.raises(ValueError):
+        token_rollup.changes(None, None)
+
+
+def test_rollup_batches_committed_while_compacting(spark, monkeypatch):
+    """A batch that lands after compact() has listed the others counts by itself, once; a second attempt at a batch does not count."""
+    schema = "doc_id long, source string, lang string, tokenizer_version string, n_tokens long"
+    state = lambda n: token_rollup.changes(None, spark.createDataFrame([(n, "s", "en", "v", n)], schema))
+    rollup, late = token_rollup.TokenRollup(spark), None
+    late = token_rollup.TokenRollup(spark, rollup.path)
+    rollup.apply("one", state(10))
+    list_state, calls = rollup._state, []
+
+    def listed():
+        found = list_state()
+        if not calls:
+            calls.append(late.apply("two", state(2)))
+        return found
+
+    monkeypatch.setattr(rollup, "_state", listed)
+    rollup.compact()
+    assert calls == [True] and [(r.n_docs, r.n_tokens) for r in late.totals().collect()] == [(2, 12)]
+    late.compact()
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(2, 12)] and rollup.has("one") and rollup.has("two")
+    folder = rollup._folder("three")
+    monkeypatch.setattr(rollup, "has", lambda batch: False)
+    assert sorted([rollup.apply("three", state(3)), rollup.apply("three", state(3))])[1]
+    assert len(rollup._names(f"batches/{folder}")) == 2 and [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(3, 15)]
+    rollup.compact()
+    assert [(r.n_docs, r.n_tokens) for r in late.totals().collect()] == [(3, 15)]
 
 
 def test_counts(spark):
     docs = spark.createDataFrame([(1, "s", "en", " a  b\tc "), (2, "s", "en", None), (3, "s", "en", "  ")], "doc_id long, source string, lang string, text string")
     assert [r.n_tokens for r in token_rollup.counted(docs, "words", token_rollup.word_count).orderBy("doc_id").collect()] == [3, 0, 0]
     pieces = token_rollup.bpe_counted(docs, "v", VOCABULARY, public_tokenizers.PATTERN).orderBy("doc_id").collect()
-    assert pieces[1].n_tokens == 0 and pieces[0].n_tokens > 3
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.read_ranks(VOCABULARY), special_tokens={})
+    assert [r.n_tokens for r in pieces] == [len(library.encode_ordinary(t)) for t in (" a  b\tc ", "", "  ")]
 
 
 PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -245,3 +368,43 @@ def test_html_grandparent_and_long():
     page = "<body><div id=nav><a href=x>a</a> <a href=y>b</a></div><div class=wrap><h1>Head</h1><div class=text>" + "<p>Some words, and more words, in a row.</p>" * 2000 + "</div></div><div class=promo>Buy</div></body>"
     text = html_extract.main_text(page)
     assert text.startswith("Head\n\nSome words") and text.count("Some words") == 2000 and "Buy" not in text
+
+
+def test_html_depth_and_ties():
+    """Markup keeps its meaning however deep it nests, in time that grows with the page; of equal containers the first is kept."""
+    depth = 2000
+    page = "<body>" + "<div>" * depth + "<nav>MENU</nav><p>One sentence, and another, in a row, of some length.</p><div class=ad>Buy</div>" + "</div>" * depth
+    assert html_extract.main_text(page) == "One sentence, and another, in a row, of some length."
+    deep = "<body>" + "<div><p>a, b, c.</p>" * 20_000
+    assert html_extract.main_text(deep).count("a, b, c.") > 0
+    assert html_extract.main_text("<body>" + "<span class=x><b>" * 20_000 + "text") == "text"
+    tied = "<body><section><p>First text, of one length.</p></section><nav>x</nav><section><p>Other text, of one length.</p></section>"
+    assert html_extract.main_text(tied).startswith("First text")
+
+
+@pytest.mark.parametrize(
+    "inside, wanted",
+    [
+        ('<svg class="i"/>', ""),
+        ('<svg><text>drawn</text></svg>', ""),
+        ("<svg><path>", ""),
+        ("<object-list>own, element.</object-list>", "own, element.\n\n"),
+        ("<template><p>none</p><template>x</template></template>", ""),
+        ("<noscript><p>none</p></noscript>", ""),
+        ("<p>Code: <span class='token comment'># note</span> and <em class=notice>more</em> here.</p>", "Code: # note and more here.\n\n"),
+        ("<p>Text <span class=ad>Buy</span></p>", "Text\n\n"),
+        ("<p class=notice>We use cookies.</p>", ""),
+        ("<div class=menu><p>Soup, bread and fish are on the table today, said the cook.</p></div>", "Soup, bread and fish are on the table today, said the cook.\n\n"),
+        ("<div class=menu><a href=x>Soup.</a> <a href=y>Fish.</a></div>", ""),
+        ("<h2 class=header>Part</h2>", "Part\n\n"),
+    ],
+)
+def test_html_names_and_unshown_elements(inside, wanted):
+    """Words of names take out containers without prose, and adverts and notices always; what is not shown ends where it should."""
+    body = "Main text, of the page, long enough to be the best container here."
+    assert html_extract.main_text(f"<body><article><h1 class=page-header>Head</h1>{inside}<p>{body}</p></article>") == f"Head\n\n{wanted}{body}"
+
+
+def test_html_bad_bytes(spark):
+    pages = spark.sql("select 1 as page_id, 'u' as url, cast(concat(cast('<p>a' as binary), x'ff', cast(' b' as binary)) as string) as html")
+    assert html_extract.extract(pages).first().text == "a\ufffd b"
