@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import pick
+from docframe.llm.shared import cut, pick, scratch
 
-#: log2 of the hashed feature tables, labelled rows that a fit reads at most, steps of each fit.
-BITS, MOST_ROWS, STEPS = 18, 2_000, 40
+#: log2 of the hashed feature tables, steps of each fit.
+BITS, STEPS = 18, 40
+#: Bounds of the labelled sample that a fit reads: rows, and bytes of all their texts.
+MOST_ROWS, MOST_BYTES = 2_000, 1 << 26
 #: Tokens of a block whose transition products are taken side by side; tokens scored at once; words a worker remembers.
 BLOCK, CHUNK, CACHE = 256, 1 << 20, 300_000
 #: A token of a toxic document is labelled toxic if its word's weight is at least this share of the document's greatest.
@@ -241,10 +243,12 @@ def summary(p: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS) -> Crf:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> Crf:
     """Trains on labelled documents, half of each label and about most_rows in all at most, those of least xxhash64(id).
 
-    Only texts and labels are read. Null ids, texts and labels teach nothing; an id with two labels counts as toxic.
+    Of these, rows are left out whose texts would take all together over most_bytes, so the driver
+    gets a bounded sample. Only texts and labels are read. Null ids, texts and labels teach nothing;
+    an id with two labels counts as toxic, an id with two texts teaches both.
     """
     known = pick(labels, id_col, label_col).toDF("id", "y").where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
     counts = {bool(r.y): r.n for r in known.groupBy((F.col("y") != 0).alias("y")).agg(F.count("*").alias("n")).collect()}
@@ -252,15 +256,29 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     draw = F.xxhash64("id").bitwiseAND(F.lit((1 << 32) - 1)) / float(1 << 32)
     chosen = known.where(draw < F.when(F.col("y") != 0, share.get(True, 0.0)).otherwise(share.get(False, 0.0)))
     texts = pick(docs, id_col, text_col).toDF("id", "text").where("text is not null")
-    got = texts.join(F.broadcast(chosen), "id").select("text", (F.col("y") != 0).alias("y")).toArrow()  # chosen has about most_rows rows
+    met = texts.join(F.broadcast(chosen), "id").select("id", F.make_valid_utf8("text").alias("text"), (F.col("y") != 0).alias("y"), F.octet_length("text").cast("long").alias("size"))
+    with scratch(docs.sparkSession):
+        drawn = cut(met, "drawn")  # about most_rows rows
+        sizes = drawn.select("id", F.xxhash64("text").alias("mark"), "size").orderBy(F.xxhash64("id"), "mark").collect()
+        total, over = 0, set()
+        for r in sizes:
+            if total + r["size"] > most_bytes:
+                over.add((r.id, r.mark))
+            else:
+                total += r["size"]
+        if over:
+            out = docs.sparkSession.createDataFrame(sorted(over, key=str), f"_id {drawn.schema['id'].dataType.simpleString()}, _mark long")
+            drawn = drawn.join(F.broadcast(out), (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+        got = drawn.select("text", "y").toArrow()
     return train(got.column("text").to_pylist(), np.array(got.column("y").to_pylist(), bool))
 
 
 def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """id_col, score, predicted, spans (start, stop, p: code points and mean marginal of runs of toxic tokens) of every whole text.
 
-    Null and empty texts have no tokens and the score of a text without any sign. Tables of features
-    are broadcast: 2**BITS x 8 bytes.
+    Null and empty texts have no tokens and the score of a text without any sign. Null and repeated
+    ids pass as they come, each row for itself. Bytes that are no UTF-8 count as U+FFFD, which is no
+    word. Tables of features are broadcast: 2**BITS x 8 bytes.
     """
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -290,7 +308,7 @@ def tag(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text
             if texts:
                 yield scored(batch.column(0).slice(at, len(texts)), texts, tokens)
 
-    own = pick(docs, id_col, text_col)
+    own = pick(docs, id_col, text_col).withColumn(text_col, F.make_valid_utf8(text_col))
     kind = own.schema[0].dataType.simpleString()
     out = own.mapInArrow(run, f"id {kind}, score double, predicted int, spans array<struct<start: long, stop: long, p: double>>")
     return out.toDF(id_col, "score", "predicted", "spans")

@@ -219,6 +219,47 @@ def test_toxicity(spark):
     assert {r.predicted for r in toxicity.tag(docs, blank).collect()} == {0}
 
 
+def test_toxicity_bounds_and_rows(spark):
+    """The sample's texts together are bounded in bytes; ids pass as they come, repeated, null or not; long texts are read whole."""
+    rng = random.Random(6)
+    words = "alpha beta gamma delta epsilon zeta".split()
+    rows = [(i, " ".join(rng.choice(words) for _ in range(20)) + (" vexfoo" if i % 2 else "")) for i in range(200)]
+    docs = spark.createDataFrame([*rows, (500, "vexbar " * 400_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(500, 1)], "doc_id long, toxic int")
+    crf = toxicity.fit(docs, labels, most_bytes=30_000)
+    asked = spark.createDataFrame([(None, "alpha vexfoo"), (None, "alpha vexfoo"), (7, "alpha " * 1_200_000 + "vexfoo"), (7, "beta"), (8, None)], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.predicted) for r in toxicity.tag(asked, crf).collect())
+    assert got == [("7", 0), ("7", 1), ("8", 0), ("None", 1), ("None", 1)]
+    bad = spark.sql("select 1 as doc_id, cast(concat(cast('alpha ' as binary), x'ff', cast(' vexfoo' as binary)) as string) as text")
+    assert toxicity.tag(bad, crf).first().predicted == 1 and toxicity.tag(docs.limit(0), crf).count() == 0
+
+
+def test_toxicity_scores_by_hand():
+    """Scores of a trained field, taken token by token in plain Python."""
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("alpha beta gamma delta vexfoo grump".split()[: 6 if i % 2 else 4]) for _ in range(rng.randrange(1, 600))) for i in range(60)]
+    crf = toxicity.train(texts, np.array([i % 2 for i in range(60)]))
+    emissions = toxicity.Emissions(crf.weights)
+    for text in texts[:12]:
+        e = [sum(crf.weights[f] for f in toxicity.features_of(w)) + crf.bias for w in text.split()]
+        values, first, ends = toxicity.joined([emissions.of(text)])
+        got = crf.probabilities(values, first)
+        start, step, n = np.exp(crf.start), np.exp(crf.step), len(e)
+        forward, backward = [start * [1, np.exp(e[0])]], [np.ones(2)]
+        for x in e[1:]:
+            v = forward[-1] @ step * [1, np.exp(x)]
+            forward.append(v / v.sum())
+        for x in reversed(e[1:]):
+            v = step @ ([1, np.exp(x)] * backward[-1])
+            backward.append(v / v.sum())
+        p = [f[1] * b[1] / (f @ b) for f, b in zip(forward, reversed(backward))]
+        assert n == len(got) and np.allclose(got, p)
+        top = min(max(max(p), 1e-5), 1 - 1e-5)
+        z = crf.score @ [1, np.log(top / (1 - top)), np.log(sum(x for x in p if x > 0.05) + 4.6e-5)]
+        mine = toxicity.sigmoid(np.column_stack([[1.0], toxicity.summary(got, ends)]) @ crf.score)
+        assert abs(mine[0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     rng = random.Random(8)
