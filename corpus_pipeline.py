@@ -7,20 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import exact_dedup, language_id, packing, simhash, suffix_dedup
-from docframe.llm.shared import cut, pick
+from docframe.llm.shared import cut, pick, remove, scratch
 
 #: SQL has no naive Bayes classifier, fingerprints, repeated byte strings or tokens; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is determined; the classifier is fitted on the table's labelled documents outside its held-out fold."""
+    """Documents whose language is determined; the classifier is fitted on the table's labelled documents outside its held-out fold.
+
+    Where no document is labelled there is no classifier, and those go that no classifier could tell: without text or letters.
+    """
     labelled = pick(docs, "doc_id", "text", "lang")
     model = language_id.fit(labelled.where(~language_id.held_out(F.col("doc_id"), 4, 2)))
     names = docs.columns
     own = language_id.predict(docs, model)
     own = own.toDF(*[f"_{i}" for i in range(len(own.columns))])
-    return own.where(F.col(f"_{len(names)}") != language_id.UNDETERMINED).select([f"_{i}" for i in range(len(names))]).toDF(*names)
+    told = F.col(f"_{len(names)}") != language_id.UNDETERMINED
+    if not model.languages:
+        told = F.coalesce(F.col(f"_{names.index('text')}").rlike(r"\p{L}"), F.lit(False))
+    return own.where(told).select([f"_{i}" for i in range(len(names))]).toDF(*names)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +59,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's table and what it wrote aside are deleted once the next one's table is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+    with scratch(spark) as keep_last:
+        for number, (name, stage) in enumerate(STAGES[:-1]):
+            with scratch(spark) as keep:
+                after = cut(stage(spark, docs, sf_dir), name)
+                keep(after)
+            if number:
+                remove(docs)
+            docs = after
+        out = cut(STAGES[-1][1](spark, docs, sf_dir), STAGES[-1][0])
+        keep_last(out)
+    return out
