@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Bullets by style; roman digits of units, by place
 BULLET_STYLES = {"disc": "•", "circle": "◦", "square": "▪", "none": ""}
 ROMAN = ("IVX", "XLC", "CDM", "M")
+#: Letters that the greatest long has in bijective base 26.
+LETTERS = 14
 
 
 def roman_digit(digit: int, letters: str) -> str:
@@ -26,12 +28,12 @@ def roman(value: Column) -> Column:
     return F.when((value >= 1) & (value <= 3999), F.concat(*places))
 
 
-def alphabetic(value: Column, letters: int = 6) -> Column:
-    """Bijective base 26: 1 is A, 27 is AA; null below 1. As many letters as are asked for at most."""
+def alphabetic(value: Column) -> Column:
+    """Bijective base 26: 1 is A, 27 is AA; null below 1."""
     n, out = value.cast("long"), F.lit("")
-    for k in range(letters):  # the letter k places from the right appears from the number 11...1 (base 26) on
+    for k in range(LETTERS):  # the letter k places from the right appears from the number 11...1 (base 26) on
         least = sum(26**i for i in range(k + 1))
-        letter = F.char(F.pmod(F.floor((n - least) / 26**k), F.lit(26)) + 65)
+        letter = F.char(F.pmod(F.call_function("div", n - F.lit(least), F.lit(26**k)), F.lit(26)) + 65)
         out = F.concat(F.when(n >= least, letter).otherwise(""), out)
     return F.when(value >= 1, out)
 

@@ -71,9 +71,9 @@ def media_type_of(name: Column) -> Column:
     return F.coalesce(lookup(name, {n: m for n, (_, _, m, _, _) in FORMATS.items()}), F.lit(""))
 
 
-def looks_like_html(text: Column) -> Column:
+def looks_like_html(text: Column, mark: str = r"\x{FEFF}") -> Column:
     """After a byte order mark and white space: a comment, an XML declaration, or a known tag and its end."""
-    return text.rlike(r"(?i)\A\x{FEFF}?[\t\n\f\r ]*(?:<!--|<\?xml|<(?:" + "|".join(SNIFFED_TAGS) + r")[ \t\n\f\r>])")
+    return text.rlike(rf"(?i)\A(?:{mark})?[\t\n\f\r ]*+(?:<!--|<\?xml|<(?:" + "|".join(SNIFFED_TAGS) + r")[ \t\n\f\r>])")
 
 
 def byte_text(content: Column) -> Column:
@@ -87,13 +87,12 @@ def big_endian(content: Column, start: int, size: int) -> Column:
 
 def still_image(content: Column) -> Column:
     """An ISO base-media file of a still-image brand: the main one, or for mif1 a compatible one. Its first box must lie within the bytes."""
-    size, text = big_endian(content, 1, 4), byte_text(content)
-    brand = F.substring(text, 9, 4)
-    n = F.greatest(F.floor((size - 16) / 4), F.lit(0)).cast("int")
-    compatible = F.transform(F.sequence(F.lit(0), F.least(n, F.lit(64)) - 1), lambda i: F.substring(text, (i * 4 + 17).cast("int"), F.lit(4)))
-    among = F.when(n > 0, F.exists(compatible, lambda b: b.isin(*HEIF_BRANDS))).otherwise(F.lit(False))
-    fine = (F.octet_length(content) >= 12) & (F.substring(text, 5, 4) == "ftyp") & (size >= 16) & (size <= F.octet_length(content))
-    return fine & (brand.isin(*HEIF_BRANDS) | ((brand == "mif1") & among))
+    size, head = big_endian(content, 1, 4), byte_text(F.substring(content, 1, 16))
+    brand = F.substring(head, 9, 4)
+    listed = byte_text(F.substring(content, F.lit(17), F.greatest(F.floor((size - 16) / 4) * 4, F.lit(0)).cast("int")))
+    among = listed.rlike(r"(?s)\A(?:.{4})*?(?:" + "|".join(sorted(HEIF_BRANDS)) + ")")
+    fine = (F.octet_length(content) >= 12) & (F.substring(head, 5, 4) == "ftyp") & (size >= 16) & (size <= F.octet_length(content))
+    return F.when(fine & brand.isin(*HEIF_BRANDS), True).when(fine & (brand == "mif1"), among).otherwise(False)
 
 
 def format_of_bytes(content: Column, package: Column | None = None) -> Column:
@@ -112,7 +111,7 @@ def format_of_bytes(content: Column, package: Column | None = None) -> Column:
 
 def detect(content: Column, path: Column, package: Column | None = None) -> Column:
     """Signature, then the name's extension, then the look of HTML; else null."""
-    html = looks_like_html(F.decode(F.substring(content, 1, PDF_WINDOW), "UTF-8"))
+    html = looks_like_html(byte_text(content), r"\xEF\xBB\xBF")
     return F.coalesce(format_of_bytes(content, package), format_of_path(path), F.when(html, "html"))
 
 

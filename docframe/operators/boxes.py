@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -17,6 +18,8 @@ BLOCK = frozenset(
 BOLD, ITALIC = frozenset("b strong h1 h2 h3 h4 h5 h6 th".split()), frozenset("i em cite var dfn address".split())
 STRIKE, CODE = frozenset("s strike del".split()), frozenset("code kbd samp tt".split())
 LISTS = frozenset("ul ol menu dir".split())
+#: Walks over trees call themselves once a level, in Python alone; pages may nest deeper than its usual limit.
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 200_000))
 ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))
 
 
@@ -88,7 +91,21 @@ def is_block(x: Element | str) -> bool:
 
 
 def has_block(e: Element) -> bool:
-    return any(is_block(x) and shown(x) or isinstance(x, Element) and not is_block(x) and has_block(x) for x in e.children)
+    """Found once for all elements within, from the leaves up."""
+    if e.blocky is None:
+        for x in reversed([x for x in e.walk() if isinstance(x, Element)]):
+            x.blocky = any(isinstance(c, Element) and (shown(c) if is_block(c) else c.blocky) for c in x.children)
+    return bool(e.blocky)
+
+
+def inner_style(x: Element, st: Run) -> Run:
+    """The style of what an element holds, given the style that it stands in."""
+    css = style_of(x)
+    weight = css.get("font-weight", "")
+    bold = (x.tag in BOLD or st.bold) if not weight else weight in ("bold", "bolder") or weight.isdigit() and int(weight) >= 600
+    italic = st.italic or x.tag in ITALIC or css.get("font-style") == "italic"
+    strike = st.strike or x.tag in STRIKE or "line-through" in css.get("text-decoration", "")
+    return Run("", bold, italic, strike, st.code or x.tag in CODE, x.attrs.get("href", "") if x.tag == "a" and x.attrs.get("href") else st.href)
 
 
 def collect_runs(nodes: list, state: Run | None = None, lists: bool = False) -> list[Run]:
@@ -108,10 +125,7 @@ def collect_runs(nodes: list, state: Run | None = None, lists: bool = False) ->
         if x.tag == "img":
             out.append(Run(x.attrs.get("alt", ""), *st.style[:4], href=st.href, literal=True) if not x.attrs.get("src") else Run(f"![{x.attrs.get('alt', '')}]({x.attrs['src']})", *st.style[:4], href=st.href, literal=True))
             return
-        css = style_of(x)
-        weight = css.get("font-weight", "")
-        bold = (x.tag in BOLD or st.bold) if not weight else weight in ("bold", "bolder") or weight.isdigit() and int(weight) >= 600
-        own = Run("", bold, st.italic or x.tag in ITALIC or css.get("font-style") == "italic", st.strike or x.tag in STRIKE or "line-through" in css.get("text-decoration", ""), st.code or x.tag in CODE, x.attrs.get("href", "") if x.tag == "a" and x.attrs.get("href") else st.href)
+        own = inner_style(x, st)
         for c in x.children:
             walk(c, own)
         if is_block(x):
@@ -192,16 +206,21 @@ def list_block(e: Element) -> Block:
         count += 1
         box = next((x for x in li.walk() if isinstance(x, Element) and x.tag in ("img", "input", "select", "textarea", "button")), None)
         checked = "checked" in box.attrs if box is not None and box.tag == "input" and box.attrs.get("type", "").lower() == "checkbox" else None
-        inner = [x for x in li.walk() if isinstance(x, Element) and x.tag in LISTS and not any(p.tag in LISTS for p in between(x, li))]
+        inner = outermost_lists(li)
         out.items.append(Item(marker, ordered, collapse(collect_runs(li.children)), [list_block(x) for x in inner], checked))
     return out
 
 
-def between(x: Element, top: Element) -> Iterator[Element]:
-    p = x.parent
-    while p is not None and p is not top:
-        yield p
-        p = p.parent
+def outermost_lists(top: Element) -> list[Element]:
+    out, todo = [], list(reversed(top.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, Element):
+            if x.tag in LISTS:
+                out.append(x)
+            else:
+                todo += reversed(x.children)
+    return out
 
 
 def table_block(e: Element) -> Block:
@@ -262,13 +281,14 @@ def cell_runs(c: Element) -> list[list[Run]]:
     return out
 
 
-def blocks_of(e: Element) -> list[Block]:
-    """Blocks in document order."""
+def blocks_of(e: Element, state: Run | None = None) -> list[Block]:
+    """Blocks in document order; state is the style that they stand in."""
     out: list[Block] = []
     pending: list = []
+    state = state or Run("")
 
     def flush() -> None:
-        runs = collapse(collect_runs(pending))
+        runs = collapse(collect_runs(pending, state))
         if runs:
             out.append(Block("paragraph", runs))
         pending.clear()
@@ -281,11 +301,11 @@ def blocks_of(e: Element) -> list[Block]:
             continue
         flush()
         if re.fullmatch("h[1-6]", x.tag):
-            runs = collapse(collect_runs(x.children))
+            runs = collapse(collect_runs(x.children, state))
             if runs:
                 out.append(Block("heading", runs, level=int(x.tag[1])))
         elif x.tag == "blockquote":
-            out.append(Block("quote", children=blocks_of(x)))
+            out.append(Block("quote", children=blocks_of(x, inner_style(x, state))))
         elif x.tag == "pre":
             out.append(Block("pre", text=x.text()))
         elif x.tag == "hr":
@@ -297,9 +317,9 @@ def blocks_of(e: Element) -> list[Block]:
         elif x.tag == "li":
             out.append(Block("list", items=[Item("-", False, collapse(collect_runs(x.children)), [])]))
         elif has_block(x):
-            out += blocks_of(x)
+            out += blocks_of(x, inner_style(x, state))
         else:
-            runs = collapse(collect_runs([x]))
+            runs = collapse(collect_runs([x], state))
             if runs:
                 out.append(Block("paragraph", runs))
     flush()

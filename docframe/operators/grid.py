@@ -72,14 +72,25 @@ def slots(cells: DataFrame) -> DataFrame:
 
 
 def dense(cells: DataFrame) -> DataFrame:
-    """doc_id, table_id, row, values (array padded to the table's width, gaps empty): spans repeat their text."""
-    at = slots(cells)
-    size = at.groupBy("doc_id", "table_id").agg((F.max("slot_col") + 1).alias("width"), (F.max("slot_row") + 1).alias("height"))
-    rows = at.groupBy("doc_id", "table_id", "slot_row").agg(F.map_from_entries(F.collect_list(F.struct("slot_col", "text"))).alias("by_col"))
+    """doc_id, table_id, row, values (array padded to the table's width, gaps empty): spans repeat their text, a later cell's over an earlier one's.
+
+    Cells spread over the rows that they cover only; along a row a span stays an interval until the
+    row's array is made.
+    """
+    keys = ["doc_id", "table_id"]
+    size = cells.groupBy(*keys).agg(F.max(F.col("col") + F.col("colspan")).alias("width"), F.max(F.col("row") + F.col("rowspan")).alias("height"))
+    spread = cells.withColumn("slot_row", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rowspan") - 1)))
+    rows = spread.groupBy(*keys, "slot_row").agg(F.array_sort(F.collect_list(F.struct("row", "col", "colspan", "text"))).alias("own"))
     every = size.withColumn("slot_row", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
-    full = every.join(rows, ["doc_id", "table_id", "slot_row"], "left")
-    values = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda c: F.coalesce(F.element_at("by_col", c), F.lit("")))
-    return full.select("doc_id", "table_id", F.col("slot_row").alias("row"), values.alias("values"))
+    full = every.join(rows, [*keys, "slot_row"], "left")
+    empty = F.array_repeat(F.lit(""), F.col("width"))
+
+    def stamp(done, c):
+        after = c["col"] + c["colspan"]
+        return F.concat(F.slice(done, F.lit(1), c["col"]), F.array_repeat(F.coalesce(c["text"], F.lit("")), c["colspan"]), F.slice(done, after + 1, F.greatest(F.col("width") - after, F.lit(0))))
+
+    values = F.when(F.col("own").isNull(), empty).otherwise(F.aggregate("own", empty, stamp))
+    return full.select(*keys, F.col("slot_row").alias("row"), values.alias("values"))
 
 
 def used_range(cells: DataFrame) -> DataFrame:

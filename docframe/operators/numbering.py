@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.counters import format_counter
@@ -36,23 +37,41 @@ def markers(counted: DataFrame) -> DataFrame:
     return counted.withColumn("marker", F.when(F.col("fmt") == "bullet", F.lit("• ")).when(F.col("fmt") == "none", F.lit("")).otherwise(F.concat(text, F.lit(" "))))
 
 
-def style_chain(spark: SparkSession, styles: DataFrame, props: list[str], most: int = 16) -> DataFrame:
-    """styles (doc_id, style_id, based_on, props ...) with each property from the nearest style of the chain that sets it. A style that the chain has met ends it."""
-    styles.createOrReplaceTempView("_styles")
-    chain = spark.sql(
-        f"""
-        WITH RECURSIVE chain(doc_id, style_id, at, depth, met) AS (
-          SELECT doc_id, style_id, style_id, 0, array(style_id) FROM _styles
-          UNION ALL
-          SELECT c.doc_id, c.style_id, s.based_on, c.depth + 1, array_append(c.met, s.based_on)
-          FROM chain c JOIN _styles s ON s.doc_id = c.doc_id AND s.style_id = c.at
-          WHERE s.based_on IS NOT NULL AND NOT array_contains(c.met, s.based_on) AND c.depth < {most}
-        )
-        SELECT doc_id, style_id, at, depth FROM chain
-        """
-    )
-    own = chain.join(styles.select("doc_id", F.col("style_id").alias("at"), *props), ["doc_id", "at"])
-    return own.groupBy("doc_id", "style_id").agg(*[F.min_by(p, F.when(F.col(p).isNotNull(), F.col("depth"))).alias(p) for p in props])
+def style_chain(styles: DataFrame, props: list[str]) -> DataFrame:
+    """styles (doc_id, style_id, based_on, props ...) with each property from the nearest style of the chain that sets it. A style that the chain has met ends it.
+
+    One pass a document over its own styles; chains may have any length.
+    """
+    keys = ["doc_id", "style_id"]
+    own = styles.select(*keys, "based_on", *props)
+
+    def resolve(table: pa.Table) -> pa.Table:
+        rows = {r["style_id"]: r for r in table.to_pylist()}
+        done: dict = {}
+        for start in rows:
+            path, at, met = [], start, set()
+            while at in rows and at not in met and at not in done:
+                path.append(at)
+                met.add(at)
+                at = rows[at]["based_on"]
+            if at in met:  # a loop: what lies on it depends on where a chain enters
+                for style in path:
+                    chain, seen, k = [], set(), style
+                    while k in rows and k not in seen:
+                        chain.append(rows[k])
+                        seen.add(k)
+                        k = rows[k]["based_on"]
+                    done[style] = {p: next((r[p] for r in chain if r[p] is not None), None) for p in props}
+                continue
+            above = done.get(at, dict.fromkeys(props))
+            for style in reversed(path):
+                above = {p: above[p] if rows[style][p] is None else rows[style][p] for p in props}
+                done[style] = above
+        doc = table.column("doc_id")[0].as_py()
+        schema = pa.schema([table.schema.field(c) for c in (*keys, *props)])
+        return pa.Table.from_pylist([{"doc_id": doc, "style_id": s, **done[s]} for s in rows], schema)
+
+    return own.groupBy("doc_id").applyInArrow(resolve, own.drop("based_on").schema)
 
 
 def row_spans(cells: DataFrame) -> DataFrame:

@@ -6,39 +6,28 @@ import html
 import re
 from statistics import median
 
+import numpy as np
+
 from docframe.functions.text import BULLETS, HEADING_RATIOS
-from docframe.operators.glyphs import BAND, GUTTER, GUTTER_SHARE, PARAGRAPH_SHARE, SNAP, WORD_SHARE, lines_fold, xy_cut
+from docframe.operators.glyphs import BAND, GUTTER, GUTTER_SHARE, LATTICE, PARAGRAPH_SHARE, SNAP, STREAM_ROWS, PageGlyphs, fold_words, stream_grid, xy_cut
 
 MARKER = re.compile(rf"([{re.escape(BULLETS)}])\S*\s+|((?:\d+|[A-Za-z]|[ivxlcdmIVXLCDM]+)[.)])\s+")
 
 
 def words_of(glyphs: list[tuple]) -> list[list[dict]]:
-    """Lines of words from glyphs (r, x, x1, y, size, bold, italic, is_space)."""
-    own = sorted(glyphs, key=lambda g: (g[3], g[1]))
-    numbers = lines_fold([g[3] for g in own], [g[4] for g in own])
-    lines: dict[int, list] = {}
-    for n, g in zip(numbers, own):
-        lines.setdefault(n, []).append(g)
-    out = []
-    for n in sorted(lines):
-        words: list[dict] = []
-        broken = True
-        for r, x, x1, y, size, bold, italic, space in sorted(lines[n], key=lambda g: g[1]):
-            if space:
-                broken = True
-                continue
-            if broken or x - words[-1]["x1"] > WORD_SHARE * max(size, words[-1]["first"]):
-                words.append({"text": "", "x": x, "x1": x1, "ys": [], "sizes": [], "bold": True, "italic": True, "first": size})
-            w = words[-1]
-            w["text"] += r
-            w["x1"] = max(w["x1"], x1)
-            w["ys"].append(y)
-            w["sizes"].append(size)
-            w["bold"], w["italic"] = w["bold"] and bold, w["italic"] and italic
-            broken = False
-        if words:
-            out.append(words)
-    return out
+    """Lines of words from a page's glyphs (r, x, x1, y, size, bold, italic, is_space)."""
+    if not glyphs:
+        return []
+    letters, *rest = zip(*glyphs)
+    x, x1, y, size = (np.array(c, float) for c in rest[:4])
+    bold, italic, space = (np.array(c, bool) for c in rest[4:])
+    found = fold_words(PageGlyphs(np.zeros(len(x), np.int64), list(letters), x, x1, y, size, bold, italic, space))
+    lines: dict[int, list[dict]] = {}
+    for line, a, b, text in zip(found.line.tolist(), found.first.tolist(), found.last.tolist(), found.text):
+        at = found.order[a:b]
+        word = {"text": text, "x": float(x[at[0]]), "x1": float(x1[at].max()), "ys": y[at].tolist(), "sizes": size[at].tolist(), "bold": bool(bold[at].all()), "italic": bool(italic[at].all()), "first": float(size[at[0]])}
+        lines.setdefault(line, []).append(word)
+    return [lines[k] for k in sorted(lines)]
 
 
 def line_of(words: list[dict]) -> dict:
@@ -74,7 +63,7 @@ def band(lines: list[float], v: float) -> int:
 def lattice(lines: list[dict], rules: list[tuple]) -> tuple[float, float, str] | None:
     """(top, bottom, html) of a ruled table: three grid lines each way at least; a missing rule between two cells joins them."""
     ys, xs = snapped([a for h, a, *_ in rules if h]), snapped([a for h, a, *_ in rules if not h])
-    if len(ys) < 2 or len(xs) < 2 or len(ys) + len(xs) < 5:
+    if len(ys) < LATTICE or len(xs) < LATTICE:
         return None
     n, m = len(ys) - 1, len(xs) - 1
     cells: dict[tuple[int, int], list] = {}
@@ -107,22 +96,17 @@ def lattice(lines: list[dict], rules: list[tuple]) -> tuple[float, float, str] |
     return ys[0], ys[-1], f"<table>{''.join(rows)}</table>"
 
 
-def stream(lines: list[dict], width: float) -> tuple[float, float, str] | None:
-    """A table without rules: three neighbouring lines or more that fall into the same two columns or more."""
-    split = [parts_of(line["words"], width) for line in lines]
-    best: list[int] = []
-    run: list[int] = []
-    for i, parts in enumerate([*split, []]):
-        same = run and parts and len(parts) == len(split[run[0]]) and all(abs(a[0]["x"] - b[0]["x"]) <= 2 * SNAP for a, b in zip(parts, split[run[0]]))
-        if same:
-            run.append(i)
-            continue
-        best = run if len(run) > len(best) else best
-        run = [i] if len(parts) >= 2 else []
-    if len(best) < 3 or all(len(" ".join(w["text"] for w in part)) > 40 for i in best for part in split[i]):
+def stream(lines: list[dict]) -> tuple[float, float, str] | None:
+    """A table without rules: the page's lines fall into the same columns, between gutters that half of them have and no word crosses."""
+    if len(lines) < STREAM_ROWS:
+        return None
+    lines = sorted(lines, key=lambda line: line["y"])
+    numbered = [[(w["x"], w["x1"], w["first"], str(k)) for k, w in enumerate(line["words"])] for line in lines]
+    grid = stream_grid(numbered)
+    if not grid:
         return None
-    rows = "".join("<tr>" + "".join(f"<td>{styled(part)}</td>" for part in split[i]) + "</tr>" for i in best)
-    return lines[best[0]]["y"], lines[best[-1]]["y"], f"<table>{rows}</table>"
+    rows = ("".join(f"<td>{styled([line['words'][int(k)] for k in cell.split()])}</td>" for cell in row) for line, row in zip(lines, grid))
+    return lines[0]["y"], lines[-1]["y"], "<table>" + "".join(f"<tr>{r}</tr>" for r in rows) + "</table>"
 
 
 def styled(words: list[dict]) -> str:
@@ -148,7 +132,7 @@ def level_of(size: float, body: float) -> int:
 def page_html(glyphs: list[tuple], rules: list[tuple], width: float, body: float) -> str:
     lines = [line_of(w) for w in words_of(glyphs)]
     table = lattice(lines, rules) if rules else None
-    table = table or stream(lines, width)
+    table = table or stream(lines)
     if table:
         lines = [x for x in lines if not table[0] - BAND <= x["y"] <= table[1] + BAND]
     parts = [line_of(p) for line in lines for p in parts_of(line["words"], width)]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Fixed value: dots an inch where none are asked for
+DEFAULT_DPI = 150.0
+
 
 def conditional_winners(hits: DataFrame, keys: list[str]) -> DataFrame:
     """hits (keys, priority, stop): those that apply: by priority, none after one that stops."""
@@ -37,9 +40,17 @@ def islands(rows: DataFrame, flag: Column, keys: list[str], order: str) -> DataF
 
 
 def fit_scale(width: Column, height: Column, page_width: Column, page_height: Column, dpi: Column) -> Column:
-    """Dots an inch so that a page fits a box: the tighter side wins, a positive dpi is a ceiling."""
-    fit = F.least(width / page_width, height / page_height) * 72
-    return F.when(dpi > 0, F.least(fit, dpi)).otherwise(fit)
+    """Dots an inch so that a page (in points) fits a box (in pixels): the tighter side wins, a positive dpi is a ceiling.
+
+    A side of the box that is not positive does not bind; where neither does, dpi holds, DEFAULT_DPI
+    if it is not positive. A scale whose rounded-up pixels pass the box steps down to the next
+    double, four times at most.
+    """
+    scale = F.least(F.when(width > 0, width / page_width), F.when(height > 0, height / page_height), F.when(dpi > 0, dpi / 72))
+    for _ in range(4):
+        over = F.coalesce((width > 0) & (F.ceil(page_width * scale) > width), F.lit(False)) | F.coalesce((height > 0) & (F.ceil(page_height * scale) > height), F.lit(False))
+        scale = F.when(over, scale * (1 - 2.0**-53)).otherwise(scale)
+    return F.when((width > 0) | (height > 0), scale * 72).when(dpi > 0, dpi).otherwise(F.lit(DEFAULT_DPI))
 
 
 def page_numbers(spec: Column, count: Column) -> Column:

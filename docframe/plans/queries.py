@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,30 +14,11 @@ from docframe.functions import sheet as S
 from docframe.functions import text as T
 from docframe.operators import glyphs as G
 from docframe.operators import grid, numbering, pivot, rules, style
+from docframe.plans.registry import ORACLE_SQL, QUERIES, query, table
 from docframe.sinks import csv as csv_sink
 from docframe.sinks import markdown as md_sink
 from docframe.sources import html as html_source
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(sql: str | None = None):
-    """Registers a function of (spark, sf_dir) under its name, with its SQL if SQL can express it."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 FORMAT_VALUES = ", ".join(f"('{n}', {i}, {o})" for n, (_, _, _, i, o) in FM.FORMATS.items())
 
 
@@ -422,12 +403,11 @@ def snap_lines(spark, sf_dir):
     return out.select("g", F.posexplode("means").alias("cluster", "mean")).select("g", F.col("cluster").cast("long").alias("cluster"), F.round("mean", 6).alias("mean"))
 
 
-def document_glyphs(spark, sf_dir):
-    """Each line of a document set in one size: a character is 6 points wide, a line 12 points high."""
-    own = document_lines(spark, sf_dir).where("content <> ''")
-    chars = own.select("doc_id", "line", F.posexplode(F.split("content", "")).alias("at", "r")).where("r <> ''")
-    x, y = (F.col("at") * 6).cast("double"), (F.col("line") * 12).cast("double")
-    return chars.select("doc_id", F.lit(0).alias("page"), F.col("at").alias("seq"), "r", x.alias("x"), (x + 6).alias("x1"), y.alias("y"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.col("r").rlike(r"^[ \t]$").alias("is_space"))
+def document_pages(spark, sf_dir):
+    """Each document as a page of runs, one a line, set in one size: a character is 6 points wide, a line 12 points high."""
+    lines = F.transform(F.split(F.col("text"), "\n"), lambda t, i: F.struct(
+        t.alias("text"), F.array_repeat(F.lit(6.0), F.length(t)).alias("widths"), F.lit(0.0).alias("x"), (i * 12).cast("double").alias("y"), F.lit(10.0).alias("size"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.lit(0).alias("page"), F.filter(lines, lambda r: r["text"] != "").alias("runs"))
 
 
 @query(
@@ -437,7 +417,7 @@ def document_glyphs(spark, sf_dir):
     """
 )
 def glyph_words(spark, sf_dir):
-    own = G.words(G.uniform_lines(document_glyphs(spark, sf_dir)))
+    own = G.run_words(document_pages(spark, sf_dir))
     return own.groupBy("doc_id").agg(F.count("*").alias("n_words"), F.countDistinct("line").alias("n_lines"), F.sum(F.length("text")).cast("long").alias("n_glyphs"), F.min("text").alias("first_word"), F.max("text").alias("last_word"))
 
 
@@ -605,3 +585,6 @@ def document_markdown(spark, sf_dir):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string())], ["doc_id", "kinds"])
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, "doc_id long, kinds string")
+
+
+from docframe.plans import format_queries, layout_queries  # noqa: E402, F401  they register theirs

@@ -28,16 +28,13 @@ TOKEN = re.compile(r"(?s)<!--(.*?)(?:--!?>|\Z)|<(/?)([A-Za-z][^\s/><]*)((?>[^<>\
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 
-#: Elements nested deeper hold nothing; what follows them stands beside them.
-DEPTH = 200
-
-
 class Element:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "blocky")
 
     def __init__(self, tag: str, attrs: dict[str, str] | None = None, parent: "Element | None" = None):
         self.tag, self.attrs, self.parent = tag, attrs or {}, parent
         self.children: list[Element | str] = []
+        self.blocky: bool | None = None  # whether a block is shown within; found when first asked for
 
     def walk(self) -> Iterator["Element | str"]:
         todo: list = [self]
@@ -69,6 +66,7 @@ class Builder:
         self.head, self.body = Element("head", parent=self.root), Element("body", parent=self.root)
         self.root.children += [self.head, self.body]
         self.stack, self.active = [self.root, self.body], []
+        self.open_tags: dict[str, int] = {}  # how many of each tag are open, so that none is looked for in vain
 
     def put(self, node: Element | str) -> None:
         top = self.stack[-1]
@@ -80,11 +78,19 @@ class Builder:
     def open(self, tag: str, attrs: dict[str, str], push: bool = True) -> Element:
         node = Element(tag, attrs, self.stack[-1])
         self.put(node)
-        if push and len(self.stack) < DEPTH:
+        if push:
             self.stack.append(node)
+            self.open_tags[tag] = self.open_tags.get(tag, 0) + 1
         return node
 
+    def cut(self, at: int) -> None:
+        for x in self.stack[at:]:
+            self.open_tags[x.tag] -= 1
+        del self.stack[at:]
+
     def index(self, tags, border) -> int:
+        if not any(self.open_tags.get(t) for t in tags):
+            return 0
         for i in range(len(self.stack) - 1, 1, -1):
             if self.stack[i].tag in tags:
                 return i
@@ -95,7 +101,7 @@ class Builder:
     def close(self, tags, border=SCOPE) -> bool:
         at = self.index(tags, border)
         if at:
-            del self.stack[at:]
+            self.cut(at)
         return bool(at)
 
     def reopen(self) -> None:
@@ -115,7 +121,7 @@ class Builder:
         if tag in CLOSES_P:
             self.close({"p"}, SCOPE)
         if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
-            self.stack.pop()
+            self.cut(len(self.stack) - 1)
         if tag in TABLE_PARTS:
             self.close(*TABLE_PARTS[tag])
             if tag in ("td", "th") and self.stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
@@ -153,9 +159,10 @@ class Builder:
                     if f in self.stack:
                         inner = [x for x in self.stack[self.stack.index(f) + 1 :]]
                         if any(x.tag not in FORMATTING for x in inner):
+                            self.open_tags[f.tag] -= 1
                             self.stack.remove(f)  # the block within stays open, without this formatting from here on
                         else:
-                            del self.stack[self.stack.index(f) :]
+                            self.cut(self.stack.index(f))
                     return
             return
         if tag in HEADINGS:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,8 +14,6 @@ from pyspark.sql.types import StringType
 # Part names and folders that tell a package's format
 EXACT = {"word/document.xml": "docx", "xl/workbook.xml": "xlsx", "ppt/presentation.xml": "pptx"}
 FOLDERS = (("word/", "docx"), ("xl/", "xlsx"), ("ppt/", "pptx"))
-#: Bytes that a part may have when unpacked.
-MOST = 1 << 28
 
 
 def package_format(data: bytes | None) -> str | None:
@@ -40,10 +38,28 @@ def package_kind(content: pa.Array) -> pa.Array:
     return pa.array([package_format(c) for c in content.to_pylist()], pa.string())
 
 
-def parts_of(data: bytes) -> dict[str, bytes]:
-    """Parts by name; those larger than MOST are left out."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        return {i.filename: z.read(i) for i in z.infolist() if not i.is_dir() and i.file_size <= MOST}
+class Parts(Mapping[str, bytes]):
+    """A package's parts by name, each unpacked when it is asked for, so that media no reader wants take no memory."""
+
+    def __init__(self, data: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(data))
+        self.entries = {i.filename: i for i in self.zip.infolist() if not i.is_dir()}
+
+    def __getitem__(self, name: str) -> bytes:
+        return self.zip.read(self.entries[name])
+
+    def __contains__(self, name: object) -> bool:
+        return name in self.entries
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.entries)
+
+    def __len__(self) -> int:
+        return len(self.entries)
+
+
+def parts_of(data: bytes) -> Parts:
+    return Parts(data)
 
 
 def pack(parts: list[tuple[str, bytes | str]], stored: tuple[str, ...] = ()) -> bytes:

@@ -276,6 +276,7 @@ class Font:
         get = file.get
         self.wide = get(font.get("Subtype")) == "Type0"
         self.runes: dict[int, str] = {}
+        self.ranges: list[tuple[int, int, int]] = []  # first and last code, the first's character; kept as they are, however long
         self.widths: dict[int, float] = {}
         inner = get((get(font.get("DescendantFonts"), [None]) or [None])[0], {}) if self.wide else font
         described = get(inner.get("FontDescriptor"), {})
@@ -326,16 +327,19 @@ class Font:
                 self.runes |= {number(a): wide(b) for a, b in zip(stack[::2], stack[1::2]) if isinstance(a, bytes) and isinstance(b, bytes)}
             elif v == "endbfrange":
                 for a, b, c in zip(stack[::3], stack[1::3], stack[2::3]):
-                    for k, code in enumerate(range(number(a), min(number(b), number(a) + 65535) + 1)):
-                        if isinstance(c, list):
-                            self.runes[code] = wide(c[k]) if k < len(c) else "�"
-                        elif wide(c):
-                            self.runes[code] = chr(ord(wide(c)) + k)
+                    if isinstance(c, list):
+                        self.runes |= {number(a) + k: wide(x) for k, x in enumerate(c[: number(b) - number(a) + 1])}
+                    elif wide(c):
+                        self.ranges.append((number(a), number(b), ord(wide(c))))
             stack = [] if isinstance(v, Word) else [*stack, v]
 
     def glyphs(self, text: bytes) -> Iterator[tuple[int, str, float]]:
         codes = [int.from_bytes(text[i : i + 2], "big") for i in range(0, len(text) - 1, 2)] if self.wide else text
         for c in codes:
+            if self.ranges and (c not in self.runes or not self.wide):
+                start = next((r + c - a for a, b, r in reversed(self.ranges) if a <= c <= b), -1)
+                if 0 <= start <= 0x10FFFF:
+                    self.runes[c] = chr(start)
             yield c, self.runes.get(c) or "�", self.widths.get(c, self.missing)
 
 

@@ -1,9 +1,12 @@
 """Formats, text, counters and sheet functions against fixed cases."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
 from docframe.functions import counters, formats, sheet, text
+from docframe.operators import rules
 from docframe.operators.convert import can_convert
 from docframe.sources.packages import pack, package_format
 
@@ -37,6 +40,41 @@ def test_detection(spark):
     assert package_format(pack([("mimetype", "application/epub+zip")])) == "epub" and package_format(pack([("a", "")])) is None and package_format(b"no") is None
 
 
+def test_detection_without_bounds(spark):
+    """Any number of brands is looked at, and any white space before a page's first tag."""
+    brands = lambda last: (16 + 4 * 70).to_bytes(4, "big") + b"ftypmif1" + bytes(4) + b"abcd" * 69 + last
+    cases = [(brands(b"heic"), "heic"), (brands(b"xxxx"), None), (b"abcdheic".join([brands(b"xxhe")[:-4], b""])[:296], None), (b" " * 5000 + b"<html>", "html"), (b"\xef\xbb\xbf\n" * 1 + b"<p>", "html")]
+    assert values(spark, formats.detect(F.col("c"), F.lit("x")), [(c,) for c, _ in cases], "c binary") == [f for _, f in cases]
+
+
+def test_letters_of_any_length(spark):
+    def letters(n):
+        out = ""
+        while n > 0:
+            n, rest = divmod(n - 1, 26)
+            out = chr(65 + rest) + out
+        return out
+
+    numbers = [1, 26, 27, 26**6 * 30, 26**9 + 5, 2**53 + 1, 2**63 - 1]
+    assert values(spark, counters.format_counter(F.col("n"), F.lit("upper-alpha")), numbers, "n long") == [letters(n) for n in numbers]
+    assert values(spark, sheet.column_name(F.col("n")), [26**6 * 30], "n long") == [letters(26**6 * 30)]
+
+
+def test_parts_of_any_size():
+    from docframe.sources.packages import parts_of
+
+    parts = parts_of(pack([("big", bytes((1 << 28) + 1)), ("small", "x")]))
+    assert set(parts) == {"big", "small"} and parts["small"] == b"x" and len(parts["big"]) == (1 << 28) + 1 and parts.get("none") is None
+
+
+def test_page_fit(spark):
+    boxes = [(480.0, 0.0, 612.0, 792.0, 0.0), (0.0, 0.0, 612.0, 792.0, 0.0), (0.0, 0.0, 612.0, 792.0, 96.0), (100.0, 100.0, 200.0, 50.0, 0.0), (1000.0, 0.0, 612.0, 792.0, 72.0), (-1.0, 396.0, 612.0, 792.0, 300.0)]
+    got = values(spark, rules.fit_scale(*[F.col(c) for c in "whpqd"]), boxes, "w double, h double, p double, q double, d double")
+    for (w, h, p, q, d), dpi in zip(boxes, got):
+        assert not (w > 0 and math.ceil(p * (dpi / 72)) > w + 1) and not (h > 0 and math.ceil(q * (dpi / 72)) > h + 1)
+    assert got[1:] == [150.0, 96.0, 36.0, 72.0, 36.0] and abs(got[0] - 480 / 612 * 72) < 1e-9
+
+
 def test_text(spark):
     assert values(spark, text.collapse_inline(F.col("s")), [" a 　b\n", ""]) == ["a b", ""]
     assert values(spark, text.collapse_box(F.col("s")), [" a \t\nb "]) == [" a b "]
