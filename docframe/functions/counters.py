@@ -47,3 +47,23 @@ def format_counter(value: Column, style: Column) -> Column:
         for name in names:
             out = out.when(style == f"upper-{name}", F.coalesce(make(value), number)).when(style == f"lower-{name}", F.lower(F.coalesce(make(value), number)))
     return out.otherwise(number)
+
+
+def counter_text(value: int, style: str) -> str:
+    """As format_counter(), of one value."""
+    kind = style.lower().removeprefix("lower-").removeprefix("upper-")
+    out = str(value)
+    if style in BULLET_STYLES:
+        return BULLET_STYLES[style]
+    if style == "decimal-leading-zero":
+        return f"0{value}" if 0 <= value < 10 else out
+    if kind == style:
+        return out
+    if kind == "roman" and 1 <= value <= 3999:
+        out = "".join(roman_digit(value // 10**place % 10, ROMAN[place]) for place in (3, 2, 1, 0))
+    elif kind in ("alpha", "latin") and value >= 1:
+        out = ""
+        while value:
+            value, rest = divmod(value - 1, 26)
+            out = chr(65 + rest) + out
+    return out.lower() if style.startswith("lower-") else out

@@ -148,3 +148,38 @@ def number_formats(spark, sf_dir):
         "p_partkey", S.format_number(n, F.lit("0%"), no).alias("percent"), S.format_number((F.col("p_size") + 40000).cast("string"), F.lit("dd/mm/yyyy"), no).alias("day"),
         S.format_serial(F.col("p_size").cast("double"), F.lit("d"), F.lit(True)).alias("mac_day"), S.format_number(F.col("p_partkey").cast("string"), F.lit("#,##0"), no).alias("whole"), S.format_number(F.col("p_brand"), F.lit("0.00"), no).alias("kept"), S.normalise_rgb(rgb).alias("rgb"),
     )
+
+
+@query(
+    """
+    SELECT c_custkey, 'text/plain;charset=utf-8' AS media, c_name AS text, CAST(NULL AS VARCHAR) AS other FROM customer WHERE c_custkey % 2 = 0
+    UNION ALL SELECT c_custkey, 'text/plain;charset=US-ASCII', c_name || ' a', NULL FROM customer WHERE c_custkey % 2 = 1
+    """
+)
+def data_urls(spark, sf_dir):
+    from docframe.sources.resources import data_urls as decoded
+
+    name, even = F.col("c_name"), F.col("c_custkey") % 2 == 0
+    url = F.when(even, F.concat(F.lit("data:text/plain;charset=utf-8;base64,"), F.base64(F.encode(name, "UTF-8")))).otherwise(F.concat(F.lit("DATA:,"), F.replace(name, F.lit("#"), F.lit("%23")), F.lit("%20a")))
+    own = table(spark, sf_dir, "customer").select("c_custkey", decoded(url).alias("d"), decoded(name).alias("n"))
+    return own.select("c_custkey", "d.media", F.decode("d.content", "UTF-8").alias("text"), F.col("n.media").alias("other"))
+
+
+@query(
+    """
+    SELECT p_partkey, CAST(p_size % 4 AS INTEGER) AS tables, CAST(p_size % 3 + CASE WHEN p_size % 4 > 0 THEN 1 ELSE 0 END AS INTEGER) AS dropped FROM part
+    """
+)
+def table_counts(spark, sf_dir):
+    """How many tables a page has, and how many other blocks a writer of tables leaves out."""
+    from docframe.sinks.csv import counted
+
+    n = F.col("p_size")
+    page = F.concat(F.repeat(F.lit("<p>x</p>"), (n % 3).cast("int")), F.when(n % 4 > 0, "<h2>y</h2>").otherwise(""), F.repeat(F.lit("<table><tr><td>1</table>"), (n % 4).cast("int")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [counted(h) for h in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([f[k] for f in found], pa.int32()) for k in (0, 1)]], ["p_partkey", "tables", "dropped"])
+
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long"), page).mapInArrow(run, "p_partkey long, tables int, dropped int")

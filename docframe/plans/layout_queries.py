@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docframe.functions import colour
+from docframe.functions import page_functions as pages
 from docframe.functions import text as T
-from docframe.operators import crop, glyphs, numbering, rules, style
+from docframe.operators import crop, flow, glyphs, numbering, rules, style
 from docframe.plans.registry import query, table
 
 
@@ -283,3 +285,122 @@ def text_modes(spark, sf_dir):
         T.normalise_lines(F.concat(F.lit("\ufeff"), t, F.lit("\r\nb\rc"))).alias("lined"),
         *[T.white_space_flag(mode, k).alias(n) for k, n in enumerate(("collapses", "keeps", "wraps"))],
     )
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_partkey, printf('%02x%02x%02x', CAST(floor((1 - l_discount * 4) * (1 - l_tax) * 255 + 0.5) AS INTEGER) * (CASE WHEN l_discount * 4 > 1 THEN 0 ELSE 1 END), CAST(floor((1 - l_tax) * 255 + 0.5) AS INTEGER), CAST(floor((1 - l_tax) * (1 - l_tax) * 255 + 0.5) AS INTEGER)) AS inks,
+           printf('%02x%02x%02x', CAST(floor(least(l_quantity / 40, 1) * 255 + 0.5) AS INTEGER), CAST(floor(least(l_quantity / 40, 1) * 255 + 0.5) AS INTEGER), CAST(floor(least(l_quantity / 40, 1) * 255 + 0.5) AS INTEGER)) AS grays
+    FROM lineitem
+    """
+)
+def colours(spark, sf_dir):
+    tax = F.col("l_tax")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", colour.hex_of(colour.cmyk(F.col("l_discount") * 4, F.lit(0.0), tax, tax)).alias("inks"), colour.hex_of(colour.gray(F.col("l_quantity") / 40)).alias("grays"))
+
+
+@query(
+    """
+    WITH b AS (SELECT l_orderkey, row_number() OVER w AS seq, CASE WHEN l_partkey % 4 <> 0 THEN CAST(l_suppkey % 5 - 2 AS INTEGER) END AS z FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))
+    SELECT l_orderkey, seq, CAST(sign(coalesce(z, 0)) AS INTEGER) AS band, row_number() OVER (PARTITION BY l_orderkey ORDER BY coalesce(z, 0), seq) AS paint FROM b
+    """
+)
+def paint_order(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("seq"), F.when(F.col("l_partkey") % 4 != 0, (F.col("l_suppkey") % 5 - 2).cast("int")).alias("z"))
+    return flow.paint_order(boxes, ["l_orderkey"], "seq", "z").select("l_orderkey", "seq", "band", "paint")
+
+
+@query(
+    """
+    WITH RECURSIVE i AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, l_quantity AS s, CASE WHEN l_orderkey % 5 <> 0 THEN 100.0 END AS room FROM lineitem),
+    f(l_orderkey, n, line, used) AS (SELECT l_orderkey, n, 0, s FROM i WHERE n = 1
+      UNION ALL SELECT i.l_orderkey, i.n, CASE WHEN used + 5 + s > room THEN line + 1 ELSE line END, CASE WHEN used + 5 + s > room THEN s ELSE used + 5 + s END FROM f JOIN i ON i.l_orderkey = f.l_orderkey AND i.n = f.n + 1)
+    SELECT l_orderkey, CAST(n AS INTEGER) AS seq, line FROM f
+    """
+)
+def wrapped_lines(spark, sf_dir):
+    """Lines of an order as items as wide as their quantity, 5 apart, in a container of 100; one order in five has no end."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("seq"), "l_quantity", F.when(F.col("l_orderkey") % 5 != 0, 100.0).alias("room"), F.lit(5.0).alias("gap"))
+    return flow.wrapped_lines(items, ["l_orderkey"], "seq", "l_quantity", "room", "gap").select("l_orderkey", "seq", "line")
+
+
+@query(
+    """
+    WITH RECURSIVE i AS (SELECT l_orderkey, row_number() OVER w AS n, l_quantity AS s, sum(l_quantity) OVER w - l_quantity AS top FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey)),
+    f(l_orderkey, n, page, used, top) AS (SELECT l_orderkey, n, 0, s, top FROM i WHERE n = 1
+      UNION ALL SELECT i.l_orderkey, i.n, CASE WHEN used + s > 80 THEN page + 1 ELSE page END, CASE WHEN used + s > 80 THEN s ELSE used + s END, i.top FROM f JOIN i ON i.l_orderkey = f.l_orderkey AND i.n = f.n + 1),
+    t AS (SELECT l_orderkey, page, min(top) AS top FROM f GROUP BY ALL)
+    SELECT l_orderkey, count(*) AS pages, CAST(max(CASE WHEN top <= 100 THEN page ELSE 0 END) AS INTEGER) AS at_100 FROM t GROUP BY l_orderkey
+    """
+)
+def page_buckets(spark, sf_dir):
+    """Lines of an order as blocks as high as their quantity on pages of 80; the page of the height 100."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    blocks = table(spark, sf_dir, "lineitem").select("l_orderkey", F.row_number().over(w).alias("seq"), "l_quantity")
+    tops = flow.page_tops(blocks, ["l_orderkey"], "seq", "l_quantity", 80.0)
+    return tops.groupBy("l_orderkey").agg(F.count("*").alias("pages"), flow.page_at(F.array_sort(F.collect_list("top")), F.lit(100.0)).alias("at_100"))
+
+
+@query(
+    """
+    SELECT user_id, event_type, min(event_id) AS first, row_number() OVER (PARTITION BY user_id ORDER BY min(event_id)) - 1 AS number FROM events GROUP BY user_id, event_type
+    """
+)
+def first_uses(spark, sf_dir):
+    return flow.first_uses(table(spark, sf_dir, "events"), ["user_id"], "event_type", "event_id")
+
+
+@query(
+    """
+    WITH b AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS name, o_orderstatus AS c FROM orders WHERE o_orderkey % 5 <> 0),
+    a AS (SELECT o_custkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS name, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE o_orderstatus END AS c FROM orders WHERE o_orderkey % 7 <> 0)
+    SELECT coalesce(b.doc_id, a.doc_id) AS doc_id, coalesce(b.name, a.name) AS name, CASE WHEN a.name IS NULL THEN 'deleted' WHEN b.name IS NULL THEN 'added' WHEN a.c = b.c THEN 'kept' ELSE 'changed' END AS change
+    FROM b FULL JOIN a ON a.doc_id = b.doc_id AND a.name = b.name
+    """
+)
+def part_changes(spark, sf_dir):
+    """Orders as parts of a customer's package before and after an edit."""
+    key = F.col("o_orderkey")
+    own = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), key.cast("string").alias("name"), "o_orderkey", F.col("o_orderstatus").alias("content"), "o_orderpriority")
+    after = own.where(key % 7 != 0).withColumn("content", F.when(key % 3 == 0, F.col("o_orderpriority")).otherwise(F.col("content")))
+    return flow.part_changes(own.where(key % 5 != 0), after)
+
+
+@query(
+    """
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, role = 'user' AS u FROM conversations),
+    s AS (SELECT *, count(*) FILTER (u) OVER (PARTITION BY conv_id ORDER BY n) AS sec FROM t), c AS (SELECT *, count(*) FILTER (NOT u) OVER (PARTITION BY conv_id, sec ORDER BY n) AS sub FROM s)
+    SELECT conv_id, CAST(n + 1 AS INTEGER) AS node_id, CASE WHEN u THEN 'Part ' || CAST(sec AS VARCHAR) || ':' ELSE CAST(sec AS VARCHAR) || '.' || chr(CAST(64 + sub AS INTEGER)) END AS text FROM c
+    """
+)
+def generated_counters(spark, sf_dir):
+    """Turns as siblings: users' ones count sections and start a counter anew, the others count within."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    user = F.col("role") == "user"
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.row_number().over(w)).select(
+        F.col("conv_id").alias("doc_id"), (F.col("n") + 1).cast("int").alias("node_id"), F.lit(1).alias("parent_id"), (F.col("n") + 1).cast("int").alias("pre"), F.when(user, "sub").alias("reset"),
+        F.when(user, "sec").otherwise("sub 1").alias("increment"), F.lit("none").alias("set"), F.when(user, "\"Part \" counter(sec) ':'").otherwise("counters(sec, '/') '.' counter(sub, upper-alpha)").alias("content"),
+    )
+    root = turns.select("doc_id").distinct().select("doc_id", F.lit(1).alias("node_id"), F.lit(None).cast("int").alias("parent_id"), F.lit(1).alias("pre"), F.lit("sec sub").alias("reset"), F.lit(None).cast("string").alias("increment"), F.lit(None).cast("string").alias("set"), F.lit("none").alias("content"))
+    return flow.generated_texts(root.unionByName(turns)).withColumnRenamed("doc_id", "conv_id")
+
+
+@query(
+    """
+    WITH v AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount * 12 AS x FROM lineitem), c AS (SELECT *, least(greatest(x, 0), 1) AS t FROM v)
+    SELECT l_orderkey, l_linenumber, l_partkey, round(0.2 + t * t * 0.6, 9) AS power, round(CASE WHEN t < 0.25 THEN t / 0.25 ELSE 1 - (t - 0.25) / 0.75 END, 9) AS stitched,
+           round(CASE WHEN t * 2 >= 1 THEN 128 / 255.0 + (t * 2 - 1) * (255 - 128) / 255.0 ELSE t * 2 * 128 / 255.0 END, 9) AS sampled, round(CASE WHEN t > 0.5 THEN 1 - t ELSE t * t END, 9) AS calculated
+    FROM c
+    """
+)
+def page_functions(spark, sf_dir):
+    unit = [(0.0, 1.0)]
+    line = lambda a, b: pages.Exponential(unit, [], [a], [b], 1.0)
+    functions = {
+        "power": pages.Exponential(unit, unit, [0.2], [0.8], 2.0), "stitched": pages.Stitched(unit, [], [line(0.0, 1.0), line(1.0, 0.0)], [0.25], [(0.0, 1.0), (0.0, 1.0)]),
+        "sampled": pages.Sampled(unit, unit, [3], 8, data=bytes([0, 128, 255])), "calculated": pages.Calculated(unit, unit, pages.read_program("{ dup 0.5 gt { 1 exch sub } { dup mul } ifelse }")),
+    }
+    x = F.col("l_discount") * 12
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", *[F.round(pages.evaluated(f, x)[0], 9).alias(name) for name, f in functions.items()])

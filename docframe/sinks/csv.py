@@ -33,3 +33,9 @@ def write(blocks: list[Block], comma: str = ",") -> str:
 
 def to_csv(source: str | None, comma: str = ",") -> str:
     return write(body_blocks(source), comma)
+
+
+def counted(source: str | None) -> tuple[int, int]:
+    """How many tables there are, and how many other blocks are left out (a quote that holds a table is none)."""
+    blocks = body_blocks(source)
+    return len(tables_of(blocks)), sum(not tables_of([b]) for b in blocks)

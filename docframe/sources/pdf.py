@@ -179,14 +179,13 @@ class File:
     def __init__(self, data: bytes):
         if b"%PDF-" not in data[:1024]:
             raise ValueError("no page description header")
-        if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
-            raise ValueError("encrypted")
         self.held: dict[int, object] = {}
-        trailers = []
+        trailers, generations = [], {}
         for m in re.finditer(rb"(?<!\d)(\d+)\s+(\d+)\s+obj\b", data):
-            self.held[int(m[1])] = self.read(data, m.end())
+            self.held[int(m[1])], generations[int(m[1])] = self.read(data, m.end()), int(m[2])
         for m in re.finditer(rb"\btrailer\b", data):
             trailers += [v for v, _ in self.first(data, m.end()) if isinstance(v, dict)]
+        self.decrypt([*trailers, *[s.meta for s in self.held.values() if isinstance(s, Stream) and s.meta.get("Type") == "XRef"]], generations)
         for s in [s for s in self.held.values() if isinstance(s, Stream)]:
             if s.meta.get("Type") == "ObjStm":
                 body, n, first = self.decoded(s), self.get(s.meta.get("N"), 0), self.get(s.meta.get("First"), 0)
@@ -199,6 +198,32 @@ class File:
         root = next((self.get(t["Root"]) for t in reversed(trailers) if isinstance(self.get(t.get("Root")), dict)), None)
         self.root = root or next((o for o in self.held.values() if isinstance(o, dict) and o.get("Type") == "Catalog"), {})
 
+    def decrypt(self, trailers: list[dict], generations: dict[int, int]) -> None:
+        """Strings and streams in the clear, if the empty password opens the file; the handler's own entries and cross-reference streams are never encrypted."""
+        trailer = next((t for t in reversed(trailers) if t.get("Encrypt") is not None), None)
+        if trailer is None:
+            return
+        from docframe.sources.pdf_crypt import Handler
+
+        found = trailer["Encrypt"]
+        own = {k: self.get(v) for k, v in self.get(found, {}).items()}
+        own["CF"] = {k: {n: self.get(v) for n, v in self.get(f, {}).items()} for k, f in (own.get("CF") or {}).items()}
+        handler = Handler(own, next((bytes(i) for i in self.get(trailer.get("ID"), [])), b""))
+
+        def plain(value: object, number: int) -> object:
+            if isinstance(value, bytes):
+                return handler.plain(number, generations[number], value)
+            if isinstance(value, Stream):
+                if value.meta.get("Type") == "XRef":
+                    return value
+                return Stream({k: plain(v, number) for k, v in value.meta.items()}, handler.plain(number, generations[number], value.raw))
+            if isinstance(value, dict):
+                return {k: plain(v, number) for k, v in value.items()}
+            return [plain(v, number) for v in value] if type(value) is list else value
+
+        for number in [n for n in self.held if not (isinstance(found, Ref) and found[0] == n)]:
+            self.held[number] = plain(self.held[number], number)
+
     @staticmethod
     def first(data: bytes, at: int):
         return [x for x, _ in zip(objects(data, at), range(1))]
