@@ -14,9 +14,11 @@ from docframe.functions import sheet as S
 from docframe.functions import text as T
 from docframe.operators import glyphs as G
 from docframe.operators import grid, numbering, pivot, rules, style
+from docframe.operators.boxes import Block, Cell, Run
 from docframe.plans.registry import ORACLE_SQL, QUERIES, query, table
 from docframe.sinks import csv as csv_sink
 from docframe.sinks import markdown as md_sink
+from docframe.sinks import workbook as workbook_sink
 from docframe.sources import html as html_source
 
 FORMAT_VALUES = ", ".join(f"('{n}', {i}, {o})" for n, (_, _, _, i, o) in FM.FORMATS.items())
@@ -480,22 +482,20 @@ def html_text(spark, sf_dir):
 
 @query()
 def html_csv(spark, sf_dir):
-    """Orders of each customer as an HTML table, written as CSV."""
+    """Orders of each customer as a table, written as CSV."""
     own = order_cells(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row", "ord", "text"))).alias("cells"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cells in batch.column(1).to_pylist():
-                rows: dict[int, str] = {}
-                for c in cells:
-                    rows[c["row"]] = rows.get(c["row"], "") + f"<td>{c['text']}</td>"
-                out.append(csv_sink.to_csv("<table>" + "".join(f"<tr>{r}</tr>" for r in rows.values()) + "</table>"))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "csv"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([csv_sink.write([table_of(cells)]) for cells in batch.column(1).to_pylist()], pa.string())], ["doc_id", "csv"])
 
     return own.mapInArrow(run, "doc_id long, csv string")
 
 
+def table_of(cells: list[dict]) -> Block:
+    return Block("table", cells=[Cell(c["row"], c["ord"], 1, 1, False, "", [[Run(c["text"])]]) for c in cells])
+
+
 ORACLE_SQL["html_csv"] = """
     WITH n AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n, count(*) OVER (PARTITION BY o_custkey) AS c FROM orders),
     r AS (SELECT o_custkey, n // 3 AS row, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY n) || repeat(',', CAST(least(3, any_value(c)) - count(*) AS INTEGER)) AS line FROM n GROUP BY o_custkey, n // 3)
@@ -552,19 +552,13 @@ for _target in ("docx", "rtf", "epub"):
 )
 def workbook_cells(spark, sf_dir):
     """Each customer's orders written as a workbook, read again as typed cells."""
-    from docframe.operators.convert import convert_one
     from docframe.sources import workbook
 
     own = order_cells(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("row", "ord", "text"))).alias("cells"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for cells in batch.column(1).to_pylist():
-                rows: dict[int, str] = {}
-                for c in cells:
-                    rows[c["row"]] = rows.get(c["row"], "") + f"<td>{c['text']}</td>"
-                out.append(convert_one("html", "xlsx", ("<table>" + "".join(f"<tr>{r}</tr>" for r in rows.values()) + "</table>").encode())[0])
+            out = [workbook_sink.write([table_of(cells)]) for cells in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "content"])
 
     books = own.mapInArrow(write, "doc_id long, content binary")

@@ -8,6 +8,7 @@ from html import escape
 from docframe.operators.boxes import Block, Item, Run, plain
 from docframe.sources.packages import pack
 
+# Fixed values of the formats, here and in the parts written below: namespaces, part names, content types, control words
 NS = "http://schemas.openxmlformats.org"
 OFFICE, RELS = f"{NS}/officeDocument/2006/relationships", f"{NS}/package/2006/relationships"
 HEAD = '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
