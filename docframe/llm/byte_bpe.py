@@ -4,20 +4,24 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import pick
+from docframe.llm.shared import pick, slices
 
-#: White space as the pre-token pattern sees it: Python's own class also holds 1C to 1F.
-UNITS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
+#: White space of one byte as the pre-token pattern sees it, and that of two and three bytes, as numbers.
+SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+WIDE_SPACES = {n: np.array([int.from_bytes(c.encode(), "big") for c in map(chr, [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]) if len(c.encode()) == n], np.int32) for n in (2, 3)}
 #: Distinct units that a worker remembers before it starts afresh.
 CACHE = 300_000
+#: Parts pre-tokens while they are put into letters; units with the byte 0 go one by one.
+BETWEEN = "\x00"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,6 +39,7 @@ def byte_letters() -> list[str]:
 
 LETTERS = byte_letters()
 TO_LETTERS = dict(enumerate(LETTERS))
+TO_LETTERS_OR_BETWEEN = {**TO_LETTERS, 0: BETWEEN}
 FROM_LETTER = {c: b for b, c in enumerate(LETTERS)}
 
 
@@ -72,11 +77,27 @@ def serialise_model(ranks: dict[bytes, int]) -> bytes:
     return b"".join(field(1, p) for p in pieces) + field(2, trainer) + field(3, normaliser)
 
 
+def unit_ends(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where units of UTF-8 bytes end: before white space of ASCII that follows no white space at all, and at each text's end."""
+    at = np.flatnonzero(SPACE[data])
+    at = at[at > 0]
+    before = data[at - 1]
+    keep = ~SPACE[before]
+    wide = np.flatnonzero(before >= 0x80)  # letters of more bytes may be white space themselves
+    if len(wide):
+        place = at[wide]
+        last, second, third = data[place - 1], data[np.maximum(place - 2, 0)], data[np.maximum(place - 3, 0)]
+        tail = second.astype(np.int32) << 8 | last
+        keep[wide] &= ~(np.isin(tail, WIDE_SPACES[2]) | np.isin(third.astype(np.int32) << 16 | tail, WIDE_SPACES[3]))
+    return np.unique(np.concatenate([at[keep], ends]))
+
+
 class ByteBpe:
     """Encodes and decodes texts by a model of serialise_model().
 
     Texts fall into units (white space, then the rest up to the next white space). No pre-token
-    crosses a unit's end, so the ids of a unit are remembered and those of a text are joined.
+    crosses a unit's end, so each different unit of a column is looked up once, and its ids are
+    remembered.
     """
 
     def __init__(self, model: bytes, ids: list[int], pattern: str):
@@ -85,35 +106,85 @@ class ByteBpe:
 
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.pattern = regex.compile(pattern)
-        self.ids = [struct.pack("<I", i) for i in [0, *ids]]
-        self.bytes = {i: bytes(FROM_LETTER[c] for c in self.model.id_to_piece(k + 1)) for k, i in enumerate(ids)}
-        self.known: dict[str, bytes] = {}
+        self.ids = np.array([0, *ids], np.uint32)
+        tokens = [b""] * (max(ids, default=0) + 1)
+        for k, i in enumerate(ids):
+            tokens[i] = bytes(FROM_LETTER[c] for c in self.model.id_to_piece(k + 1))
+        self.token_bytes, self.token_sizes = np.frombuffer(b"".join(tokens), np.uint8), np.array([len(t) for t in tokens], np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.clear()
+
+    def clear(self) -> None:
+        """Unit number n has sizes[n] ids, from starts[n] on in flat; the empty unit is number 0."""
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, units: list[str]) -> None:
-        parts, ends = [], []
+        parts, counts, findall = [], [], self.pattern.findall
         for u in units:
-            parts += [to_letters(t.encode()) for t in self.pattern.findall(u)]
-            ends.append(len(parts))
-        coded = self.model.encode(parts, out_type=int, num_threads=1) if parts else []
-        own, start = self.ids, 0
-        for u, end in zip(units, ends):
-            self.known[u] = b"".join([own[i] for part in coded[start:end] for i in part])
-            start = end
+            own = findall(u)
+            parts += own
+            counts.append(len(own))
+        joined = BETWEEN.join(parts)
+        if joined.count(BETWEEN) == max(0, len(parts) - 1):  # one pass over all letters
+            letters = joined.encode().decode("latin-1").translate(TO_LETTERS_OR_BETWEEN).split(BETWEEN) if parts else []
+        else:
+            letters = [to_letters(t.encode()) for t in parts]
+        coded = self.model.encode(letters, out_type=int, num_threads=1) if letters else []
+        ends = np.cumsum([0, *map(len, coded)])[np.cumsum([0, *counts])]
+        self.known.update(zip(units, range(len(self.known), len(self.known) + len(units))))
+        self.starts = np.concatenate([self.starts, len(self.flat) + ends[:-1]])
+        self.sizes = np.concatenate([self.sizes, np.diff(ends)])
+        self.flat = np.concatenate([self.flat, self.ids[np.fromiter(chain.from_iterable(coded), np.int64, int(ends[-1]))]])
+
+    def numbered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all units, and how many units each text has."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        ends = offsets[1:] - offsets[0]
+        cuts = np.concatenate([[0], unit_ends(data, ends[ends > 0])]).astype(np.int64)
+        units = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts), pa.py_buffer(data)).dictionary_encode()
+        different = units.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) > CACHE:
+            self.clear()
+        numbers = list(map(self.known.get, different))
+        missing = [u for u, n in zip(different, numbers) if n is None]
+        if missing:
+            self.learn(missing)
+            numbers = list(map(self.known.__getitem__, different))
+        return np.array(numbers, np.int64)[units.indices.to_numpy()], np.diff(np.searchsorted(cuts, np.concatenate([[0], ends])))
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        which, units = self.numbered(texts)
+        total = np.concatenate([[0], np.cumsum(self.sizes[which])])
+        return np.diff(total[np.concatenate([[0], np.cumsum(units)])])
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' ids end to end, and where each text's start and end."""
+        which, units = self.numbered(texts)
+        ends = np.concatenate([[0], np.cumsum(self.sizes[which])])
+        return gathered(self.flat, self.starts[which], self.sizes[which]), ends[np.concatenate([[0], np.cumsum(units)])]
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of ids that ends cuts into texts, and where each text's start and end."""
+        sizes = self.token_sizes[ids]
+        return gathered(self.token_bytes, self.token_starts[ids], sizes), np.concatenate([[0], np.cumsum(sizes)])[ends]
 
     def encode(self, text: str) -> bytes:
         """The ids, each as four bytes, low byte first."""
-        units, known = UNITS.findall(text), self.known
-        try:
-            return b"".join([known[u] for u in units])
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            self.learn([u for u in dict.fromkeys(units) if u not in known])
-            return b"".join([known[u] for u in units])
+        return self.encode_all(pa.array([text]))[0].astype("<u4").tobytes()
 
     def decode(self, ids: bytes) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in memoryview(ids).cast("I")])
+        own = np.frombuffer(ids, "<u4").astype(np.int64)
+        return self.decode_all(own, np.array([0, len(own)]))[0].tobytes()
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of all, end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)]
 
 
 def coder(spark, vocabulary: str, pattern: str):
@@ -133,13 +204,11 @@ def byte_bpe_digests(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
-        for batch in batches:
-            out: list[tuple[int, str, str]] = []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py() or "")
-                out.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()))
-            n, a, b = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["id", "n", "a", "b"])
+        for batch in (s for b in batches for s in slices(b, 1)):
+            ids, ends = bpe.encode_all(batch.column(1))
+            data, places = bpe.decode_all(ids, ends)
+            digests = [[hashlib.sha256(memoryview(flat[a:b])).hexdigest() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())] for flat, cuts in ((ids.astype("<u4"), ends), (data, places))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends)), *[pa.array(d, pa.string()) for d in digests]], ["id", "n", "a", "b"])
 
     own = pick(docs, id_col, text_col).withColumn(text_col, F.make_valid_utf8(text_col))
     kind = own.schema[0].dataType.simpleString()
@@ -152,9 +221,9 @@ def byte_bpe_ids(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = make()
-        for batch in batches:
-            ids = [memoryview(bpe.encode(t.as_py() or "")).cast("I").tolist() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+        for batch in (s for b in batches for s in slices(b, 1)):
+            ids, ends = bpe.encode_all(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends.astype(np.int32), ids.astype(np.int32))], ["id", "ids"])
 
     own = pick(docs, id_col, text_col).withColumn(text_col, F.make_valid_utf8(text_col))
     return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, ids array<int>").toDF(id_col, "ids")

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import cut, pick, remove
+from docframe.llm.shared import bound_batches, cut, pick, remove
 
 UNDETERMINED = "und"
 #: Orders of the n-grams, log2 of the hash table.
@@ -23,7 +23,7 @@ MOST_LANGUAGES = 2048
 #: Languages whose sums the driver gets at once.
 TOGETHER = 32
 #: Characters that are scored at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Odd multipliers of the n-gram hash, one for each place in an n-gram, then one for each order.
 PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 SALTS = (0x27D4EB2F, 0x165667B1, 0x2545F491)
@@ -175,6 +175,7 @@ def predict(docs: DataFrame, model: NaiveBayes, text_col: str = "text", into: tu
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
 
     names = docs.columns
+    bound_batches(docs.sparkSession)
     own = docs.toDF(*[f"_{i}" for i in range(len(names))])
     guessed = own.withColumn("_guess", guess(F.make_valid_utf8(f"_{names.index(text_col)}")))
     return guessed.select("*", "_guess.lang", "_guess.score").drop("_guess").toDF(*names, *into)

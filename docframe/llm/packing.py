@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -14,13 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.byte_bpe import to_letters
-from docframe.llm.shared import cut, pick
+from docframe.llm.shared import cut, pick, slices
 
 #: Slots of a hashed document vector, dimensions it is projected to, bits of a coordinate, tokens of a sequence.
 SLOTS, DIMENSIONS, BITS, LENGTH = 1024, 4, 10, 2048
 SEED = 20240
-#: Words that a worker remembers before it starts afresh, bytes of text whose words are looked up together, documents whose vectors are.
-WORDS, SLICE, DOCUMENTS = 600_000, 1 << 23, 512
+#: Words that a worker remembers before it starts afresh, documents whose vectors are made at once.
+WORDS, DOCUMENTS = 300_000, 512
 
 
 class WordTokens:
@@ -117,12 +116,6 @@ class WordTokens:
         return np.insert(self.flat[at], starts[1:], last), starts + np.arange(len(starts))
 
 
-@functools.cache
-def word_tokens(path: str) -> WordTokens:
-    """A worker process keeps its words from task to task."""
-    return WordTokens(path)
-
-
 def projection() -> np.ndarray:
     """(slots x dimensions), fixed by SEED."""
     return np.random.default_rng(SEED).standard_normal((SLOTS, DIMENSIONS))
@@ -162,22 +155,12 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE bytes of text, of one row at least."""
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size) - size) // SLICE
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def tokenised(docs: DataFrame, tokenizer: str, last: int, id_col: str, text_col: str) -> DataFrame:
     """(id, key, ids): ids as two bytes each."""
     matrix = projection()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokens(tokenizer)
+        words = WordTokens(tokenizer)
         for batch in (s for b in batches for s in slices(b, 1)):
             ids, ends = words.encode(batch.column(1), last)
             points = [coordinates(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a], matrix) for a in range(0, len(batch), DOCUMENTS) for b in (min(len(batch), a + DOCUMENTS),)]

@@ -8,6 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 32768
 #: A key with more than 1/HOT_SLOTS of all rows is looked up by broadcast; fewer than HOT_SLOTS such keys can exist.
 HOT_SLOTS = 256
+#: Bytes of an Arrow batch, and of text whose different words are looked up together.
+BATCH, SLICE = 1 << 22, 1 << 21
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -76,12 +81,31 @@ def remove(df: DataFrame) -> None:
             delete(df.sparkSession, parent)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Batches that go to Python have about BATCH bytes at most, so that tasks' memory does not hang on how long documents are. A session that asks for less keeps its own bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.rstrip("b").isdigit() or not 0 < int(now.rstrip("b")) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, by exact case; columns of other or clashing names do no harm."""
+    bound_batches(df.sparkSession)
     own = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
     return own.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE bytes of text, of one row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(size) - size) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that operators wrote to the shared folder. Results that were not written elsewhere yet read them, so call this last."""
     delete(spark, f"{shared_root(spark)}/docframe")
@@ -100,20 +124,23 @@ def attach(left: DataFrame, right: DataFrame, key: str, weight: str, total: int,
 
 
 def key_bitmaps(keys: DataFrame, key: str, bits_a_key: int = 16, most_bits: int = 26) -> tuple[DataFrame, int]:
-    """Bitmaps (bucket, bitmap) over the hashes of a column, and log2 of all bits: at most 2**most_bits / 8 bytes."""
+    """Bitmaps (bucket, words of 32 bits) over the hashes of a column, and log2 of all bits: at most 2**most_bits / 4 bytes."""
     bits = min(most_bits, max(15, (max(1, keys.count()) * bits_a_key - 1).bit_length()))
     at = keys.select(F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
-    return cut(at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap")), "bitmaps"), bits
+    maps = at.groupBy(F.shiftright("at", 15).alias("bucket")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("bitmap"))
+    words = F.transform(F.sequence(F.lit(0), F.lit(BITMAP_BITS // 32 - 1)), lambda i: F.conv(F.hex(F.substring(F.col("bitmap"), i * 4 + 1, F.lit(4))), 16, 10).cast("long"))
+    return cut(maps.select("bucket", words.alias("words")), "bitmaps"), bits
 
 
 def flagged(df: DataFrame, key: Column, bitmaps: tuple[DataFrame, int]) -> DataFrame:
     """df with a column _perhaps: whether the key may be one of those that the bitmaps were made of. True for all that are, and for a few more. The bitmaps are broadcast."""
     table, bits = bitmaps
     at = df.withColumn("_at", F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))).withColumn("_bucket", F.shiftright("_at", 15))
-    met = at.join(F.broadcast(table.toDF("_bucket", "_bitmap")), "_bucket", "left")
-    bit = F.col("_at").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    byte = F.conv(F.hex(F.substring("_bitmap", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.call_function("bit_get", byte, bit.bitwiseAND(F.lit(7)).cast("int")) == 1
+    met = at.join(F.broadcast(table.toDF("_bucket", "_words")), "_bucket", "left")
+    bit = F.col("_at").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
+    # a word holds four bytes, the first on top; a byte's first bit is its least
+    place = (F.lit(3) - F.shiftright(bit, 3).bitwiseAND(F.lit(3))) * 8 + bit.bitwiseAND(F.lit(7))
+    held = F.getbit(F.get("_words", F.shiftright(bit, 5)), place) == 1
     return met.withColumn("_perhaps", F.coalesce(held, F.lit(False))).select(*df.columns, "_perhaps")
 
 

@@ -5,12 +5,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm.byte_bpe import coder
-from docframe.llm.shared import new_path, pick
+from docframe.llm.shared import new_path, pick, slices
 
 KEYS = ("source", "lang", "tokenizer_version")
 SCHEMA = "source string, lang string, tokenizer_version string, n_docs long, n_tokens long"
@@ -154,6 +155,7 @@ def bpe_counted(docs: DataFrame, version: str, vocabulary: str, pattern: str, id
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = make()
         for batch in batches:
-            yield pa.array([len(bpe.encode(t.as_py() or "")) // 4 for t in batch], pa.int64())
+            parts = [bpe.counts(s.column(0)) for s in slices(pa.RecordBatch.from_arrays([batch], ["text"]), 0)]
+            yield pa.array(np.concatenate([np.zeros(0, np.int64), *parts]))
 
     return counted(docs, version, lambda text: tokens(F.make_valid_utf8(text)), id_col, text_col)

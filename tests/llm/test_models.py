@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docframe.llm import byte_bpe, html_extract, language_id, packing, token_rollup, topk, toxicity
+from docframe.llm import byte_bpe, html_extract, language_id, packing, shared, token_rollup, topk, toxicity
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -77,7 +77,8 @@ def test_byte_bpe_whole_vocabulary():
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     coder = byte_bpe.ByteBpe(byte_bpe.serialise_model(ranks), sorted(ranks.values()), public_tokenizers.PATTERN)
     texts = [t.decode("utf-8", "ignore") for t in ranks]
-    wrong = [t for t in texts if memoryview(coder.encode(t)).cast("I").tolist() != library.encode_ordinary(t)]
+    ids, ends = coder.encode_all(pa.array(texts))
+    wrong = [t for t, a, b in zip(texts, ends, ends[1:]) if ids[a:b].tolist() != library.encode_ordinary(t)]
     assert len(texts) > 50_000 and wrong == []
 
 
@@ -99,6 +100,10 @@ def test_byte_bpe_matches_library(spark):
     assert [out[i] for i in range(len(texts))] == [library.encode_ordinary(t or "") for t in texts]
     coder = byte_bpe.ByteBpe(byte_bpe.serialise_model(ranks), sorted(ranks.values()), public_tokenizers.PATTERN)
     assert all(coder.decode(coder.encode(t or "")).decode() == (t or "") for t in texts)
+    spaces = "".join(map(chr, [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x200A, 0x200B, 0x2028, 0x202F, 0x205F, 0x3000]))
+    mixed = ["".join(rng.choice(spaces + "aé漢1! ") for _ in range(60)) for _ in range(300)] + ["\x00 \x00a b\x00"]
+    ids, ends = coder.encode_all(pa.array(mixed))
+    assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode_ordinary(t) for t in mixed] and coder.counts(pa.array(mixed)).tolist() == np.diff(ends).tolist()
     digests = byte_bpe.byte_bpe_digests(docs.limit(3), VOCABULARY, public_tokenizers.PATTERN)
     assert digests.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and digests.count() == 3
 
@@ -295,10 +300,10 @@ def test_packing_slices_nulls_and_bad_bytes(spark, monkeypatch):
     assert sorted(sum(whole.values(), [])) == sorted(x for _, t in rows for x in [*library.encode(t, add_special_tokens=False).ids, 1])
     assert whole["8"] == [*library.encode("A\ufffdB", add_special_tokens=False).ids, 1]
     texts = pa.array(["the cat, the dog " * 40, "", None, "Sat. On a mat " * 30])
-    monkeypatch.setattr(packing, "SLICE", 100)
+    monkeypatch.setattr(shared, "SLICE", 100)
     monkeypatch.setattr(packing, "WORDS", 3)
     words, flat = packing.WordTokens(path), []
-    parts = list(packing.slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0))
+    parts = list(shared.slices(pa.RecordBatch.from_arrays([texts], ["t"]), 0))
     assert len(parts) == 2 and [t for p in parts for t in p.column(0).to_pylist()] == texts.to_pylist()
     for p in parts:
         ids, ends = words.encode(p.column(0), 1)
