@@ -12,7 +12,9 @@ a distributed algorithm.
 Texts whose word shingles are alike may differ in more bits than any table of 64 bits can look up.
 similar_components() links all pairs of a Jaccard similarity: links of fingerprints are only a start,
 verified like all others, and pairs that it leaves apart are found by their prefixes. Of two sets in
-one order, with a overlap at least, the first n - a + 1 elements share one.
+one order, with a overlap at least, the first n - a + 1 elements share one. Of each set a parity map is
+kept, of about as many bits as it has elements: two maps differ in no more bits than the sets do in
+elements, so pairs whose maps differ in more are apart, and hardly any sets but similar ones meet.
 """
 
 from __future__ import annotations
@@ -34,6 +36,10 @@ HASHES = 1 << 15
 SEGMENTS = ((0, 32), (32, 32))
 #: One text in SAMPLE is counted to tell common shingles, those in COMMON of these texts at least, and log2 of the bits that keep them.
 SAMPLE, COMMON, COMMON_BITS = 16, 3, 26
+#: Rounds in which nodes are linked to one of a key's, before all pairs still apart are.
+ROUNDS = 1
+#: Bits of a small set's parity map.
+PARITY = 256
 
 
 def shingle_hashes(text: str, width: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -237,6 +243,15 @@ def shingle_set(hashes: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate([x.view(np.int64).ravel() for x in hashes])) if hashes else np.zeros(0, np.int64)
 
 
+def parity_map(found: np.ndarray) -> np.ndarray:
+    """Bits, as longs, a power of two and as many as hashes at least: a bit is 1 if an odd number of the hashes fall on it.
+
+    The halves of a map, one over the other, are the map of half the bits.
+    """
+    bits = max(PARITY, 1 << max(0, len(found) - 1).bit_length())
+    return np.packbits((np.bincount(found >> 8 & bits - 1, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def common_shingles(own: DataFrame, width: int, bits: int = COMMON_BITS) -> np.ndarray:
     """Bits, by the low bits of a hash, set for the shingles that are common in a sample; they only order shingles, so more or fewer change no result."""
 
@@ -256,14 +271,14 @@ def common_shingles(own: DataFrame, width: int, bits: int = COMMON_BITS) -> np.n
 
 
 def prefixes(own: DataFrame, width: int, similarity: tuple[int, int], common: np.ndarray) -> DataFrame:
-    """(id, mark, fp, node, size, keys): node stands for a text's set of so many shingles, keys are the first of them, those not common before the others."""
+    """(id, mark, fp, node, size, parity, keys): node stands for a text's set of so many shingles, keys are the first of them, those not common before the others."""
     top, bottom = similarity
     shared = own.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
-            fps, nodes, sizes, keys = [], [], [], []
+            fps, nodes, sizes, keys, maps = [], [], [], [], []
             for t in batch.column(1):
                 hashes = list(shingle_hashes(t.as_py() or "", width))
                 found = shingle_set(hashes)
@@ -273,15 +288,32 @@ def prefixes(own: DataFrame, width: int, similarity: tuple[int, int], common: np
                 fps.append(majority(hashes))
                 nodes.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sizes.append(n)
+                maps.append(parity_map(found))
                 keys.append(np.concatenate([found[~last], found[last]])[: n - -(-top * n // bottom) + 1])
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, keys)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *keys]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)], pa.array(sizes, pa.int32()), lists], ["id", "mark", "fp", "node", "size", "keys"])
+            parity = pa.ListArray.from_arrays(np.cumsum([0, *map(len, maps)]).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *maps]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, nodes)], pa.array(sizes, pa.int32()), parity, lists], ["id", "mark", "fp", "node", "size", "parity", "keys"])
+
+    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, mark long, fp long, node long, size int, parity array<long>, keys array<long>")
+
+
+def maps_near(a: str, b: str, size_a: str, size_b: str, similarity: tuple[int, int]) -> Column:
+    """Whether sets of these sizes and parity maps may be similar: true for all that are."""
+    top, bottom = similarity
+    shorter = F.least(F.size(a), F.size(b))
+
+    def folded(x: str) -> Column:
+        """Sets of like sizes have maps of one length, or of twice the other's."""
+        halves = F.zip_with(F.slice(x, F.lit(1), shorter), F.slice(x, shorter + 1, shorter), lambda v, w: v.bitwiseXOR(w))
+        return F.when(F.size(x) == shorter, F.col(x)).otherwise(halves)
 
-    return own.mapInArrow(run, f"id {own.schema[0].dataType.simpleString()}, mark long, fp long, node long, size int, keys array<long>")
+    apart = F.aggregate(F.zip_with(folded(a), folded(b), lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda n, v: n + v).cast("long")
+    like = bottom * F.least(size_a, size_b).cast("long") >= top * F.greatest(size_a, size_b).cast("long")
+    return like & ((top + bottom) * apart <= (bottom - top) * (F.col(size_a) + F.col(size_b)).cast("long"))
 
 
-def alike(pairs: DataFrame, own: DataFrame, ids: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
-    """The pairs (a, b) of nodes whose whole sets of shingles are similar."""
+def alike(pairs: DataFrame, own: DataFrame, unique: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets of shingles are similar. unique: one row a node (best, size, parity)."""
     top, bottom = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,13 +323,17 @@ def alike(pairs: DataFrame, own: DataFrame, ids: DataFrame, width: int, similari
                 node = np.array([xxhash.xxh3_64_intdigest(found.tobytes())], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(np.array([0, len(found)], np.int32), found)], ["node", "shingles"])
 
-    met = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "met")
-    least = cut(ids.join(met, "node").groupBy("node").agg(F.min("id").alias("id")), "least")
-    texts = perhaps_in(own, "id", key_bitmaps(least, "id")).mapInArrow(run, "node long, shingles array<long>")
-    sets = cut(texts.join(met, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    maps = lambda x: unique.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("parity").alias(f"_{x}"))
+    near = pairs.join(maps("a"), "a").join(maps("b"), "b").where(maps_near("_a", "_b", "size_a", "size_b", similarity))
+    near = cut(near.select("a", "b"), "near")
+    met = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    least = cut(unique.join(met, "node").select("node", "best.id", "best.mark"), "least")
+    # one text stands for a node, that of the best row's hash; copies of it meet before their sets are made
+    texts = perhaps_in(own, "mark", key_bitmaps(least, "mark")).join(least.select("mark"), "mark", "left_semi").select("mark", "text").groupBy("mark").agg(F.first("text").alias("text"))
+    sets = cut(texts.mapInArrow(run, "node long, shingles array<long>").join(least.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     of = lambda x: sets.select(F.col("node").alias(x), F.col("shingles").alias(f"_{x}"))
     both = F.size(F.array_intersect("_a", "_b")).cast("long")
-    return cut(pairs.join(of("a"), "a").join(of("b"), "b").where((top + bottom) * both >= top * (F.size("_a") + F.size("_b")).cast("long")).select("a", "b"), "alike")
+    return cut(near.join(of("a"), "a").join(of("b"), "b").where((top + bottom) * both >= top * (F.size("_a") + F.size("_b")).cast("long")).select("a", "b"), "alike")
 
 
 def similar_components(docs: DataFrame, width: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET) -> DataFrame:
@@ -319,7 +355,7 @@ def similar_representatives(docs: DataFrame, width: int, similarity: tuple[int,
         own = marked(docs, id_col, text_col)
         rows = cut(prefixes(own, width, similarity, common_shingles(own, width)), "prefixes")
         ids = cut(rows.select("id", "mark", "node"), "ids")
-        unique = cut(rows.groupBy("node").agg(best_row(), F.min("fp").alias("fp"), F.count("*").alias("n")), "unique")
+        unique = cut(rows.groupBy("node").agg(best_row(), F.min("fp").alias("fp"), F.count("*").alias("n"), F.min("size").alias("size"), F.min("parity").alias("parity")), "unique")
         table = rows.select("node", "size", F.posexplode("keys").alias("at", "key"))
         met = cut(table.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key"), "met")
         table = cut(perhaps_in(table, "key", key_bitmaps(met, "key")).join(met, "key").distinct(), "shared")
@@ -331,22 +367,38 @@ def similar_representatives(docs: DataFrame, width: int, similarity: tuple[int,
         def sorted_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
             return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
-        named = links(unique.select("fp").distinct(), DISTANCE, bucket)
+        # of a fingerprint's links the one to the least: more would only be verified again
+        linked = links(unique.select("fp").distinct(), DISTANCE, bucket)
+        named = linked.unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("b"))
         first = unique.groupBy("fp").agg(F.min("node").alias("node"))
         near = named.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b")
         same = unique.join(first.toDF("fp", "x"), "fp").select("x", F.col("node").alias("y"))
-        # every node to one of its key's, then every pair that is still apart
-        stars = table.groupBy("key").agg(F.min(F.struct("node", "size", "at")).alias("s")).select("key", "s.*")
-        stars = table.alias("p").join(stars.alias("q"), "key").where(enough("p", "q"))
-        pairs = sorted_pairs(near, "x", "y").unionByName(sorted_pairs(same, "x", "y")).unionByName(sorted_pairs(stars, "p.node", "q.node"))
-        edges = alike(cut(pairs.distinct(), "stars"), own, ids, width, similarity)
-        parts = cut(connected_components(edges), "parts")
-        held = cut(table.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
-        main = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-        held = cut(held.join(main, "key"), "apart")
-        rest = held.alias("p").where("component <> main").join(held.alias("q"), "key")
-        rest = rest.where(F.col("p.component") != F.col("q.component")).where((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))).where(enough("p", "q"))
-        edges = edges.unionByName(alike(cut(sorted_pairs(rest, "p.node", "q.node"), "rest"), own, ids, width, similarity))
+        # rounds in which every node goes to one other of its key's, another for each key and round; then every pair that is still apart
+        edges = None
+        for turn in range(ROUNDS + 1):
+            if edges is None:
+                held, others = table, table
+            else:
+                parts = connected_components(edges)
+                held = cut(table.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")), "held")
+                main = held.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
+                held = cut(held.join(main, "key"), "apart")
+                others = held.where("component = main")
+            if turn == ROUNDS:
+                break
+            stars = others.groupBy("key").agg(F.min_by(F.struct("node", "size", "at"), F.xxhash64("node", "key", F.lit(turn))).alias("s")).select("key", "s.*")
+            met = (held if edges is None else held.where("component <> main")).alias("p").join(stars.alias("q"), "key").where(enough("p", "q"))
+            pairs = sorted_pairs(met, "p.node", "q.node")
+            if edges is None:
+                pairs = pairs.unionByName(sorted_pairs(near, "x", "y")).unionByName(sorted_pairs(same, "x", "y")).distinct()
+            found = alike(cut(pairs, "stars"), own, unique, width, similarity)
+            edges = found if edges is None else edges.unionByName(found)
+        # maps are held against each other within the join, so that few pairs leave it
+        held = held.join(unique.select("node", "parity"), "node")
+        p, q = held.alias("p"), held.alias("q")
+        wanted = (F.col("p.key") == F.col("q.key")) & (F.col("p.component") != F.col("q.component")) & ((F.col("q.component") == F.col("q.main")) | (F.col("p.node") < F.col("q.node")))
+        rest = p.where("component <> main").join(q, wanted & enough("p", "q") & maps_near("p.parity", "q.parity", "p.size", "q.size", similarity))
+        edges = edges.unionByName(alike(cut(sorted_pairs(rest, "p.node", "q.node"), "rest"), own, unique, width, similarity))
         return attached(ids, unique, connected_components(edges), "node", keep)
 
 
