@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +14,8 @@ from pyspark.sql import functions as F
 # Tolerances in points, or in shares of the glyph size or page width
 LINE_SHARE, WORD_SHARE, GUTTER, GUTTER_SHARE, PARAGRAPH_SHARE, SNAP, BAND = 0.5, 0.15, 18.0, 0.05, 1.6, 3.0, 3.0
 GUTTER_SIZES, LATTICE, STREAM_ROWS, STREAM_COLUMNS, TOUCH = 1.5, 3, 3, 2, 0.01
+#: Lines whose pages are cut together.
+PAGE_ROWS = 1 << 16
 WORDS = "doc_id long, page int, line int, word int, text string, x double, x1 double, y double, size double, bold boolean"
 RUNS = "array<struct<text: string, widths: array<double>, x: double, y: double, size: double, bold: boolean, italic: boolean>>"
 
@@ -291,60 +292,131 @@ def stream_cells(words_df: DataFrame) -> DataFrame:
     return words_df.groupBy("doc_id", "page").applyInArrow(run, "doc_id long, page int, row int, col int, text string")
 
 
-def xy_cut(boxes: list[tuple[float, float, float, float]], width: float) -> list[int]:
-    """Reading order of line boxes (x, x1, y, size) as places: cuts at the widest vertical gap, then at horizontal ones, in turn."""
-    out: list[int] = []
-
-    def vertical(own: list[int]) -> tuple[list[int], list[int]] | None:
-        own = sorted(own, key=lambda i: boxes[i][0])
-        reach, best, at = boxes[own[0]][1], 0.0, None
-        for i in own[1:]:
-            if boxes[i][0] - reach > best:
-                best, at = boxes[i][0] - reach, (boxes[i][0] + reach) / 2
-            reach = max(reach, boxes[i][1])
-        if at is None or best < max(GUTTER, GUTTER_SHARE * width):
-            return None
-        return [i for i in own if boxes[i][0] < at], [i for i in own if boxes[i][0] >= at]
-
-    def horizontal(own: list[int]) -> tuple[list[int], list[int]] | None:
-        own = sorted(own, key=lambda i: boxes[i][2])
-        gaps = [boxes[b][2] - boxes[a][2] for a, b in zip(own, own[1:])]
-        if not gaps:
-            return None
-        k = max(range(len(gaps)), key=lambda i: (gaps[i], -i))
-        middle = sorted(gaps)
-        median = (middle[(len(gaps) - 1) // 2] + middle[len(gaps) // 2]) / 2
-        if gaps[k] < PARAGRAPH_SHARE * max(boxes[own[k]][3], 1.0) or gaps[k] < 1.5 * median + 0.01:
-            return None
-        return own[: k + 1], own[k + 1 :]
-
-    todo = [(list(range(len(boxes))), True)] if boxes else []
-    while todo:
-        own, first = todo.pop()
-        if len(own) > 1:
-            for cut, now in ((vertical, True), (horizontal, False)) if first else ((horizontal, False), (vertical, True)):
-                parts = cut(own)
-                if parts:
-                    todo += [(parts[1], not now), (parts[0], not now)]
-                    break
-            else:
-                out += sorted(own, key=lambda i: (boxes[i][2], boxes[i][0]))
-        else:
-            out += own
-    return out
+def segments(start: np.ndarray, n: int) -> np.ndarray:
+    """The segment of each of n rows; start: where segments begin."""
+    return np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+
+
+def vertical_cuts(x: np.ndarray, x1: np.ndarray, start: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the rows by x, and how many of them lie left of the widest gap; 0 without a gap that is wide enough."""
+    n, group = len(x), segments(start, len(x))
+    order = np.lexsort((x, group))
+    values, rank = np.unique(x1[order], return_inverse=True)
+    reach = values[np.maximum.accumulate(group * len(values) + rank) - group * len(values)]
+    gap = np.zeros(n)
+    gap[1:] = x[order[1:]] - reach[:-1]
+    gap[start] = 0.0
+    best = np.maximum.reduceat(gap, start)
+    first = np.minimum.reduceat(np.where(gap == best[group], np.arange(n), n), start)
+    at = (x[order[first]] + reach[np.maximum(first - 1, 0)]) / 2
+    left = np.add.reduceat((x[order] < at[group]).astype(np.int64), start)
+    return order, np.where(best >= np.fmax(GUTTER, GUTTER_SHARE * width), left, 0)
+
+
+def horizontal_cuts(y: np.ndarray, size: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment of two rows or more the rows by y, and how many of them lie above the widest gap; 0 without a gap that stands out."""
+    n, group, count = len(y), segments(start, len(y)), np.diff(np.append(start, len(y)))
+    order = np.lexsort((y, group))
+    gap = np.full(n, -1.0)
+    gap[1:] = y[order[1:]] - y[order[:-1]]
+    gap[start] = -1.0  # sorts before all gaps
+    best = np.maximum.reduceat(gap, start)
+    first = np.minimum.reduceat(np.where(gap == best[group], np.arange(n), n), start)
+    middle = gap[np.lexsort((gap, group))]
+    median = (middle[start + 1 + (count - 2) // 2] + middle[start + 1 + (count - 1) // 2]) / 2
+    out = (best >= PARAGRAPH_SHARE * np.maximum(size[order[first - 1]], 1.0)) & (best >= 1.5 * median + 0.01)
+    return order, np.where(out, first - start, 0)
+
+
+def xy_order(x: np.ndarray, x1: np.ndarray, y: np.ndarray, size: np.ndarray, start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Reading order of the line boxes of many pages, page by page, as places: each page is cut at the widest vertical gap, then at horizontal ones, in turn.
+
+    start: where pages begin; width: one a page. All pages' parts are cut side by side, a level at a
+    time, and parts lie in reading order throughout. A cut that leaves nothing on one side is none.
+    Of equal places the earlier row comes first; boxes without a finite place come last on their page.
+    """
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64)
+    placed, page = np.isfinite(x) & np.isfinite(y), segments(start, n)
+    x1, size = np.where(np.isfinite(x1), x1, x), np.where(np.isfinite(size), size, 0.0)
+    rows = np.lexsort((~placed, page))
+    # parts: where they begin and end in rows, whether a vertical cut is tried first, their page
+    many = np.add.reduceat(placed.astype(np.int64), start)
+    begin, end, upright, of = start, start + many, np.ones(len(start), bool), np.arange(len(start))
+    while True:
+        own = end - begin > 1
+        begin, end, upright, of = begin[own], end[own], upright[own], of[own]
+        if not len(begin):
+            return rows
+        cut, across = np.zeros(len(begin), np.int64), np.zeros(len(begin), bool)
+        for now in (upright, ~upright):
+            for vertical in (True, False):
+                todo = np.flatnonzero((now == vertical) & (cut == 0))
+                if not len(todo):
+                    continue
+                count = end[todo] - begin[todo]
+                parts = np.cumsum(count) - count
+                at = np.arange(count.sum()) + np.repeat(begin[todo] - parts, count)
+                r = rows[at]
+                order, left = vertical_cuts(x[r], x1[r], parts, width[of[todo]]) if vertical else horizontal_cuts(y[r], size[r], parts)
+                left[left == count] = 0
+                moved = np.repeat(left > 0, count)
+                rows[at[moved]] = r[order[moved]]
+                cut[todo], across[todo] = left, not vertical
+        whole = np.flatnonzero(cut == 0)
+        if len(whole):
+            count = end[whole] - begin[whole]
+            at = np.arange(count.sum()) + np.repeat(begin[whole] - (np.cumsum(count) - count), count)
+            r = rows[at]
+            rows[at] = r[np.lexsort((x[r], y[r], np.repeat(whole, count)))]
+        parted = cut > 0
+        middle = begin[parted] + cut[parted]
+        begin, end = np.concatenate([begin[parted], middle]), np.concatenate([middle, end[parted]])
+        upright, of = np.tile(across[parted], 2), np.tile(of[parted], 2)
 
 
-def reading_order(lines: DataFrame) -> DataFrame:
-    """lines (doc_id, page, line, x, x1, y, size, width) and reading_seq, page by page."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema.fields) + ", reading_seq int"
+def xy_cut(boxes: list[tuple[float, float, float, float]], width: float) -> list[int]:
+    """Reading order of line boxes (x, x1, y, size) of one page as places."""
+    own = np.array(boxes, float).reshape(-1, 4)
+    return xy_order(*own.T, np.zeros(1, np.int64), np.array([width], float)).tolist()
+
 
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.reset_index(drop=True)
-        places = xy_cut(list(zip(pdf["x"], pdf["x1"], pdf["y"], pdf["size"])), float(pdf["width"].iloc[0]))
-        pdf["reading_seq"] = pd.Series(range(len(places)), index=places, dtype="int32")
-        return pdf
+def reading_order(lines: DataFrame, at_once: int = PAGE_ROWS) -> DataFrame:
+    """lines (doc_id, page, line, x, x1, y, size, width) and reading_seq, page by page; a page's first line tells its width.
 
-    return lines.groupBy("doc_id", "page").applyInPandas(order, schema)
+    Batches go to Python as they come, in order of pages, and whole pages of at_once lines or more
+    are cut together.
+    """
+    names = lines.columns
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in lines.schema.fields]
+
+    def ordered(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        start = np.flatnonzero(table.column("_place").to_numpy() == 1)
+        x, x1, y, size, width = (table.column(c).to_numpy().astype(float) for c in ("x", "x1", "y", "size", "width"))
+        places = xy_order(x, x1, y, size, start, width[start])
+        seq = np.empty(len(places), np.int32)
+        seq[places] = np.arange(len(places)) - np.repeat(start, np.diff(np.append(start, len(places))))
+        yield from table.select(names).append_column("reading_seq", pa.array(seq)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, last = [], 0, 0
+        for batch in batches:
+            place = batch.column(len(names)).to_numpy()
+            if (np.diff(np.concatenate([[last], place]))[place != 1] != 1).any():
+                raise ValueError("lines of a page must follow each other")
+            start, last = np.flatnonzero(place == 1), place[-1] if len(place) else last
+            if len(start) and rows + start[-1] >= at_once:
+                yield from ordered(pa.Table.from_batches([*held, batch.slice(0, start[-1])]))
+                batch, held, rows = batch.slice(start[-1]), [], 0
+            held.append(batch)
+            rows += len(batch)
+        if rows:
+            yield from ordered(pa.Table.from_batches(held))
+
+    # a window's rows leave it sorted, so pages are whole without a further shuffle
+    own = lines.withColumn("_place", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("line")))
+    return own.mapInArrow(run, ", ".join([*kinds, "reading_seq int"]))
 
 
 def reorder_rtl(words_df: DataFrame) -> DataFrame:

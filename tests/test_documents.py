@@ -146,6 +146,65 @@ def test_glyphs(spark):
     assert sorted((r.row, r.col, r.text) for r in glyphs.ruled_cells(rules_df, words).collect()) == [(0, 0, "A"), (0, 1, "B"), (1, 0, "C"), (1, 1, "D")]
 
 
+def plain_order(boxes, width, vertical_first=True):
+    """Places of boxes (x, x1, y, size) by recursion, one cut at a time."""
+
+    def vertical(own):
+        own = sorted(own, key=lambda b: b[1][0])
+        gaps = [(own[k][1][0] - max(b[1] for _, b in own[:k]), -k) for k in range(1, len(own))]
+        gap, k = max(gaps, default=(0, 0))
+        if gap < max(18.0, 0.05 * width):
+            return None
+        middle = (own[-k][1][0] + max(b[1] for _, b in own[:-k])) / 2
+        return [b for b in own if b[1][0] < middle], [b for b in own if b[1][0] >= middle]
+
+    def horizontal(own):
+        own = sorted(own, key=lambda b: b[1][2])
+        gaps = [(b[1][2] - a[1][2], -k) for k, (a, b) in enumerate(zip(own, own[1:]), 1)]
+        gap, k = max(gaps, default=(0, 0))
+        if not gaps or gap < 1.6 * max(own[-k - 1][1][3], 1.0) or gap < 1.5 * np.median([g for g, _ in gaps]) + 0.01:
+            return None
+        return own[:-k], own[-k:]
+
+    def order(own, first):
+        for cut in (vertical, horizontal) if first else (horizontal, vertical):
+            parts = cut(own)
+            if parts and all(parts):
+                return [i for p in parts for i in order(p, cut is horizontal)]
+        return [i for i, _ in sorted(own, key=lambda b: (b[1][2], b[1][0]))]
+
+    return order(list(enumerate(boxes)), vertical_first)
+
+
+def test_reading_order_of_many_pages(spark):
+    """Pages that end within batches and between them are read as each by itself, and no page goes to Python alone."""
+    random = np.random.default_rng(3)
+    pages = {}
+    for doc in range(60):
+        step = int(random.choice([1, 30, 110]))
+        x = random.integers(0, 600 // step, int(random.choice([1, 2, 5, 40]))) * float(step)
+        pages[doc] = [(float(a), float(a + random.choice([5, 80, 250])), float(random.integers(0, 60) * 14), float(random.choice([0, 8, 24]))) for a in x]
+    rows = [(doc, 0, n, *b, 612.0) for doc, boxes in pages.items() for n, b in enumerate(boxes)]
+    lines = spark.createDataFrame([rows[k] for k in random.permutation(len(rows))], "doc_id long, page int, line int, x double, x1 double, y double, size double, width double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for at_once in (1, 50, 100_000):
+            df = glyphs.reading_order(lines, at_once)
+            got = {(r.doc_id, r.reading_seq): r.line for r in df.collect()}
+            assert got == {(doc, seq): line for doc, boxes in pages.items() for seq, line in enumerate(plain_order(boxes, 612.0))}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "FlatMapGroups" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reading_order_of_odd_boxes(spark):
+    """Boxes that end before they begin end the cutting; lines without a place are numbered too, behind all others."""
+    assert glyphs.xy_cut([(100, 0, 5, 10), (100, 0, 1, 10)], 200) == [1, 0] and glyphs.xy_cut([], 200) == []
+    rows = [(1, 0, 0, None, 5.0, 1.0, 9.0, 612.0), (1, 0, 1, 0.0, None, 40.0, None, None), (1, 0, 2, 0.0, 9.0, 1.0, 9.0, None), (1, 1, 0, None, None, None, None, None), (None, 0, 0, 1.0, 2.0, 3.0, 4.0, 5.0)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, line int, x double, x1 double, y double, size double, width double")
+    assert {(r.doc_id, r.page, r.line, r.reading_seq) for r in glyphs.reading_order(lines).collect()} == {(1, 0, 2, 0), (1, 0, 1, 1), (1, 0, 0, 2), (1, 1, 0, 0), (None, 0, 0, 0)}
+
+
 def page_of(spark, at):
     """Glyphs (character, x, x1, y, size) of one page."""
     rows = [(1, 0, i, r, float(x), float(x1), float(y), float(size), False, False, r == " ") for i, (r, x, x1, y, size) in enumerate(at)]
