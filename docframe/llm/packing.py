@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,14 +57,15 @@ class WordTokens:
         self.known: dict[str, int] = {"": 0}
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint16), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        """New words are numbered, those of Latin letters without special tokens first, pre-token by pre-token."""
-        odd, pieces, counts, plain, rest = self.odd.search, [], [], [], []
-        for word in words:
-            if odd(word):
-                rest.append(word)
-                continue
-            plain.append(word)
+    def learn(self, words: list[str]) -> np.ndarray:
+        """New words get numbers, which are returned; words of Latin letters without special tokens go pre-token by pre-token."""
+        odd, pieces, counts, plain, rest = self.odd.search, [], [], words, []
+        if odd("\n".join(words)):  # no word holds white space, so nothing is found that lies across two
+            places = {False: [], True: []}
+            for k, word in enumerate(words):
+                places[odd(word) is not None].append(k)
+            plain, rest = ([words[k] for k in places[o]] for o in (False, True))
+        for word in plain:
             low = word.lower()
             if low.isalpha():
                 pieces.append(low if low.isascii() else to_letters(low.encode()))
@@ -80,10 +82,16 @@ class WordTokens:
         ends = np.concatenate([[0], np.flatnonzero(self.last_of_piece[ids]) + 1])[np.cumsum([0, *counts])]
         others = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in rest]
         sizes = np.concatenate([np.diff(ends), np.array([len(o) for o in others], np.int64)])
-        self.known.update(zip(plain + rest, range(len(self.known), len(self.known) + len(words))))
+        numbers = np.arange(len(self.known), len(self.known) + len(words))
+        self.known.update(zip(plain + rest, numbers.tolist()))
+        if rest:
+            back = np.empty(len(words), np.int64)
+            back[places[False] + places[True]] = numbers
+            numbers = back
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, ids, np.array([i for o in others for i in o], np.uint16)])
+        return numbers
 
     def lower(self, texts: pa.Array) -> pa.Array:
         """Lower-cased are the texts whose letters have a lower case that all libraries agree on; special tokens' strings must not arise by it."""
@@ -104,12 +112,11 @@ class WordTokens:
         different = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > WORDS:
             self.clear()
-        numbers = list(map(self.known.get, different))
-        missing = [w for w, n in zip(different, numbers) if n is None]
-        if missing:
-            self.learn(missing)
-            numbers = list(map(self.known.__getitem__, different))
-        which = np.array(numbers, np.int64)[words.indices.to_numpy()]
+        numbers = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+        missing = np.flatnonzero(numbers < 0)
+        if len(missing):
+            numbers[missing] = self.learn([different[k] for k in missing.tolist()])
+        which = numbers[words.indices.to_numpy()]
         ends = np.concatenate([[0], np.cumsum(self.sizes[which])])
         at = np.arange(ends[-1]) + np.repeat(self.starts[which] - ends[:-1], self.sizes[which])
         starts = ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])]

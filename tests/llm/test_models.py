@@ -286,6 +286,30 @@ def test_packing(spark):
     assert packing.pack(docs.limit(0), path).count() == 0
 
 
+def test_packing_looks_words_up_once():
+    """Each different word of a slice meets the memory once, known or not, and words for the library keep their places among the rest."""
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            self.asked += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.asked += 1
+            return super().__getitem__(k)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, words = Tokenizer.from_file(path), packing.WordTokens(path)
+    words.known = Counted(words.known)
+    for texts, different in ((["one \u0391\u03a3 two. <|endoftext|>x", "", "two. three \u4e2d\u6587 one"], 7), (["three four", "\u4e2d\u6587 five"], 4)):
+        words.known.asked = 0
+        ids, ends = words.encode(pa.array(texts), 1)
+        assert words.known.asked == different
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+
+
 def test_packing_slices_nulls_and_bad_bytes(spark, monkeypatch):
     """Each row is packed for itself, whatever its id; bytes that are no UTF-8 count as U+FFFD; slices and forgetting change no id."""
     path = public_tokenizers.path("word_bpe_49k.json")
