@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import bound_batches, cut, pick, remove
+from docframe.llm.shared import bound_batches, cut, give_back, pick, released, remove
 
 UNDETERMINED = "und"
 #: Orders of the n-grams, log2 of the hash table.
@@ -127,6 +127,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         rows = rows.join(F.broadcast(shares), "lang").where(drawn)
     rows = rows.select(F.make_valid_utf8("text").alias("text"), "lang")
 
+    @released
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -173,6 +174,7 @@ def predict(docs: DataFrame, model: NaiveBayes, text_col: str = "text", into: tu
         for batch in batches:
             langs, scores = own.predict(batch.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+        give_back()
 
     names = docs.columns
     bound_batches(docs.sparkSession)

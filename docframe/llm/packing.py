@@ -14,13 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.byte_bpe import to_letters
-from docframe.llm.shared import cut, pick, slices
+from docframe.llm.shared import BATCH, cut, pick, released, slices
 
 #: Slots of a hashed document vector, dimensions it is projected to, bits of a coordinate, tokens of a sequence.
 SLOTS, DIMENSIONS, BITS, LENGTH = 1024, 4, 10, 2048
 SEED = 20240
-#: Words that a worker remembers before it starts afresh, documents whose vectors are made at once.
-WORDS, DOCUMENTS = 300_000, 512
+#: Words that a worker remembers before it starts afresh, documents whose vectors are made at once, parts of a slice that are tokenized at once.
+WORDS, DOCUMENTS, PARTS = 300_000, 128, 2
+#: Pieces and ids of a batch of pieces; an id takes 8 bytes.
+PIECES, IDS = 4096, BATCH // 8
 
 
 class WordTokens:
@@ -166,9 +168,10 @@ def tokenised(docs: DataFrame, tokenizer: str, last: int, id_col: str, text_col:
     """(id, key, ids): ids as two bytes each."""
     matrix = projection()
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokens(tokenizer)
-        for batch in (s for b in batches for s in slices(b, 1)):
+        for batch in (s for b in batches for s in slices(b, 1, PARTS)):
             ids, ends = words.encode(batch.column(1), last)
             points = [coordinates(ids[ends[a] : ends[b]], ends[a : b + 1] - ends[a], matrix) for a in range(0, len(batch), DOCUMENTS) for b in (min(len(batch), a + DOCUMENTS),)]
             data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer(ends * 2), pa.py_buffer(ids)])
@@ -197,8 +200,9 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, last: int = 1, i
     kind = rows.schema["id"].dataType.simpleString()
     ordered = rows.withColumn("tie", F.xxhash64("id", "ids")).repartitionByRange("key", "tie").sortWithinPartitions("key", "tie", "id")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A sequence is given out when it is full; what waits is less than one sequence."""
+        """A sequence is given out when it is full; what waits is less than one sequence, and a batch has about PIECES pieces and IDS ids at most."""
         names = ["id", "start", "length", "crc", "doc_tokens", "sequence", "offset", "tokens"]
         waiting: list[tuple] = []  # (id, start, ids, doc_tokens)
         filled, sequence, part = 0, 0, None
@@ -206,10 +210,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, last: int = 1, i
         def give(pieces: list[tuple]) -> pa.RecordBatch:
             ids, starts, parts, totals, numbers, offsets = zip(*pieces)
             crcs = [zlib.crc32(p.astype("<u4").tobytes()) for p in parts]
-            shown = [p.astype(np.int64) if tokens else None for p in parts]
-            return pa.RecordBatch.from_arrays([pa.array(ids, batch_type), pa.array(starts, pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64()), pa.array(shown, pa.list_(pa.int64()))], names)
+            sizes = np.array([len(p) for p in parts])
+            shown = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), np.concatenate(parts).astype(np.int64)) if tokens else pa.nulls(len(parts), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, batch_type), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(totals, pa.int64()), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64()), shown], names)
 
-        batch_type, out = None, []
+        batch_type, out, held = None, [], 0
         for batch in batches:
             batch_type = batch.column(0).type
             for doc, data, number in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
@@ -222,10 +227,10 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, last: int = 1, i
                     filled, at = filled + take, at + take
                     if filled == length:
                         out += [(d, s, p, t, (part << 40) + sequence, o) for d, s, p, t, o in waiting]
-                        waiting, filled, sequence = [], 0, sequence + 1
-                if len(out) > 4096:
-                    yield give(out)
-                    out = []
+                        waiting, filled, sequence, held = [], 0, sequence + 1, held + length
+                        if len(out) > PIECES or held > IDS:
+                            yield give(out)
+                            out, held = [], 0
         start = 0
         for size in cut_sizes(filled, length):
             end = start + size

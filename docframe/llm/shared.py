@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -96,16 +98,38 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return own.select(*[F.col(f"_{df.columns.index(n)}").alias(n) for n in names])
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of about SLICE bytes of text, of one row at least."""
+def slices(batch: pa.RecordBatch, column: int, parts: int = 1) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about SLICE / parts bytes of text, of one row at least."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    part = (np.cumsum(size) - size) // SLICE
+    part = (np.cumsum(size) - size) // max(1, SLICE // parts)
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(batch)]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
 
 
+@cache
+def trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """What the allocators of this process keep for later goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    if own := trim():
+        own(0)
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, and at its end the memory that it no longer needs is given back: Python workers outlive their tasks, and so would the most that any took."""
+
+    def own(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        give_back()
+
+    return own
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that operators wrote to the shared folder. Results that were not written elsewhere yet read them, so call this last."""
     delete(spark, f"{shared_root(spark)}/docframe")

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import BITMAP_BITS, attach, connected_components, cut, key_bitmaps, perhaps_in, pick, scratch, without_rows
+from docframe.llm.shared import BITMAP_BITS, attach, connected_components, cut, key_bitmaps, perhaps_in, pick, released, scratch, without_rows
 
 #: Bits that linked fingerprints differ in at most, rows of a bucket beyond which it is cut further, and how often: 2**14 values then remain at most.
 DISTANCE, BUCKET, LEVELS = 3, 50_000, 3
@@ -77,6 +77,7 @@ def marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, mark, fp): fp a signed long; null texts count as empty."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py() or "", width) for t in batch.column(1)], np.uint64)
@@ -147,17 +148,20 @@ def cut_keys(key: np.ndarray, fp: np.ndarray, free: np.ndarray, parts: int) -> I
 def links(unique: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
     """Edges (a, b) between values of unique (fp), enough to connect all that are linked."""
 
+    @released
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, who, own = table_rows(batch.column(0).to_numpy().view(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(who.view(np.int64)), pa.array(own)], ["key", "fp", "own"])
 
+    @released
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, fp, free = (batch.column(c).to_numpy().view(np.uint64) for c in (0, 1, 3))
             for at, keys, left in cut_keys(key, fp, free, distance + 1):
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[at].view(np.int64)), batch.column(2).take(pa.array(at)), pa.array(left.view(np.int64))], ["key", "fp", "own", "free"])
 
+    @released
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; those of a batch's last key wait for the next batch."""
 
@@ -255,6 +259,7 @@ def parity_map(found: np.ndarray) -> np.ndarray:
 def common_shingles(own: DataFrame, width: int, bits: int = COMMON_BITS) -> np.ndarray:
     """Bits, by the low bits of a hash, set for the shingles that are common in a sample; they only order shingles, so more or fewer change no result."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
@@ -275,6 +280,7 @@ def prefixes(own: DataFrame, width: int, similarity: tuple[int, int], common: np
     top, bottom = similarity
     shared = own.sparkSession.sparkContext.broadcast(common)
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for batch in batches:
@@ -316,6 +322,7 @@ def alike(pairs: DataFrame, own: DataFrame, unique: DataFrame, width: int, simil
     """The pairs (a, b) of nodes whose whole sets of shingles are similar. unique: one row a node (best, size, parity)."""
     top, bottom = similarity
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(1):

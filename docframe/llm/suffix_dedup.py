@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.shared import attach, cut, key_bitmaps, perhaps_in, pick, remove, scratch
+from docframe.llm.shared import attach, cut, key_bitmaps, perhaps_in, pick, released, remove, scratch
 
 #: Bytes of a string that counts, of an anchor's gram; grams in a window; places between cover samples.
 LENGTH, GRAM, PERIOD = 200, 64, 32
@@ -97,6 +97,7 @@ def pack_place(anchor: np.ndarray, before: np.ndarray, count: np.ndarray) -> np.
 def anchors(rows: DataFrame, kind: str) -> DataFrame:
     """rows: (id, mark, text). (id, mark, gram, context, place) of every anchor."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffer_of(batch.column(2))
@@ -181,6 +182,7 @@ SPAN_FIELDS = "mark long, start long, stop long"
 def sorted_buckets(contexts: DataFrame, kind: str) -> DataFrame:
     """(id, mark, start, stop) of the repeated bytes of contexts that occur once; contexts: (gram, id, mark, place, n, bytes)."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by gram; whole grams are sorted together, up to about CONTEXTS contexts."""
         rest: list[pa.RecordBatch] = []
@@ -226,6 +228,7 @@ def sorted_buckets(contexts: DataFrame, kind: str) -> DataFrame:
 def split_buckets(contexts: DataFrame, kind: str) -> DataFrame:
     """As sorted_buckets(), for grams of any number of contexts: each window's 128-bit digest is a bucket of its own."""
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             place, at, window, high, low = batch.column("place").to_numpy(), [], [], [], []
@@ -269,6 +272,7 @@ def spans_of_rows(rows: DataFrame, kind: str, most: int) -> DataFrame:
     lists = wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("gram", "n", "contexts", "place")).alias("wanted"))
     held = rows.alias("r").join(lists.alias("l"), same_row("r", "l")).select("r.id", "r.mark", "r.text", "l.wanted")
 
+    @released
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"gram": [], "n": [], "contexts": [], "place": [], "bytes": []}
@@ -359,6 +363,7 @@ def repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = rows.schema["id"].dataType.simpleString()
     joined = rows.alias("r").join(own.alias("l"), same_row("r", "l"), "left").select("r.id", "r.text", "l.spans")
 
+    @released
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, gone, digests, kept = [], [], [], []

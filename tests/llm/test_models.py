@@ -335,6 +335,33 @@ def test_packing_slices_nulls_and_bad_bytes(spark, monkeypatch):
     assert flat == [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts.to_pylist()]
 
 
+def test_packing_gives_pieces_out_in_bounded_batches(spark, monkeypatch):
+    """However long documents are, a batch of pieces has about BATCH bytes of ids at most, and none is lost."""
+    docs, ran = spark.createDataFrame([(1, "one")], "doc_id long, text string"), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, *a, **b: ran.append(f) or plain(self, f, *a, **b))
+    packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), tokens=True)
+    rng = np.random.default_rng(3)
+    data = [rng.integers(0, 49_000, n, np.uint16) for n in (1_500_000, 5, 700_000, *[300] * 4000)]
+    rows = [pa.RecordBatch.from_pydict({"id": [k], "ids": [d.tobytes()], "part": [3]}) for k, d in enumerate(data)]
+    got, starts = [[] for _ in data], [0] * len(data)
+    for batch in ran[-1](iter(rows)):
+        assert batch.nbytes < 1.5 * shared.BATCH
+        for k, start, length, tokens in zip(*[batch.column(c).to_pylist() for c in (0, 1, 2)], batch.column(7)):
+            assert start == starts[k] and length == len(tokens)
+            starts[k] += length
+            got[k].append(tokens.values.to_numpy())
+    assert all(np.array_equal(np.concatenate(g), d) for g, d in zip(got, data))
+
+
+def test_memory_is_given_back_after_the_last_row(monkeypatch):
+    told = []
+    monkeypatch.setattr(shared, "give_back", lambda: told.append("back"))
+    assert [*shared.released(lambda rows: (told.append(r) or r for r in rows))([1, 2])] == [1, 2] and told == [1, 2, "back"]
+    monkeypatch.undo()
+    shared.give_back()
+
+
 def test_hilbert_curve_is_continuous():
     points = np.array([(a, b) for a in range(8) for b in range(8)])
     order = np.argsort(packing.hilbert_keys(points, 3))
